@@ -137,9 +137,9 @@ WITH RECURSIVE docs AS (
 ), laid AS (
   SELECT d.doc_id, d.size, q.*, q.quota // nullif(q.source_size, 0) AS whole FROM docs d JOIN quota q ON d.source IS NOT DISTINCT FROM q.source
 ), cut AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY no ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || whole), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM laid
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY no ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':' || whole), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM laid
 )
-SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE whole * size + greatest(0, least(size, quota - whole * source_size - at)) END::BIGINT AS taken FROM cut
+SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE whole * size + greatest(0, least(size, quota - whole * source_size - earlier)) END::BIGINT AS taken FROM cut
 """
 
 

@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.fingerprints import op9_fingerprints
+from tessera.llm.language_id import op2_language_id
 from tessera.llm.mixing import OP6_SQL, op6_mixing
 from tessera.llm.token_counts import op3_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
         "op3_token_counts": op3_token_counts,
         "op6_mixing": op6_mixing,
+        "op9_fingerprints": op9_fingerprints,
     }
 
 
