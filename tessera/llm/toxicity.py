@@ -185,9 +185,9 @@ def learn(rows: list[tuple[str | None, int]]) -> Lexicon:
     # What says as much and is purer goes before a stem that merely contains it.
     purer: dict[str, float] = {}
     for x, df in [(w, words) for w in told_words] + [(t, stems) for t in told_stems]:
-        e, o = _evidence(df[1][x], n[1], df[0][x], n[0]), odds(x, df)
+        o = odds(x, df)
         for k in STEMS:
-            if k < len(x) and x[:k] in strength and e >= 0.7 * strength[x[:k]]:
+            if k < len(x) and x[:k] in strength and df[1][x] >= 0.7 * stems[1][x[:k]]:
                 purer[x[:k]] = max(purer.get(x[:k], 0.0), o)
     told_stems = {s for s in told_stems if odds(s, stems) > purer.get(s, 0.0) - 1}
     taken: set[str] = set()  # beginnings of stems that are in
@@ -265,7 +265,7 @@ def learn_on_executors(rows: DataFrame) -> Lexicon:
         x = learn(sorted(seen, key=lambda r: (r[0] or "", r[1])))
         yield pa.RecordBatch.from_arrays([pa.array([json.dumps([x.words, x.stems, x.exceptions, x.curve])])], ["lexicon"])
 
-    found = rows.coalesce(1).mapInArrow(run, "lexicon string").collect()
+    found = rows.repartition(1).mapInArrow(run, "lexicon string").collect()
     return Lexicon(*json.loads(found[0][0])) if found else Lexicon()
 
 
