@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.fingerprints import op9_fingerprints
 from tessera.llm.language_id import op2_language_id
 from tessera.llm.mixing import OP6_SQL, op6_mixing
+from tessera.llm.quality import op1_quality
 from tessera.llm.token_counts import op3_token_counts
 from tessera.llm.toxicity import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
         "op2_language_id": op2_language_id,
         "op3_token_counts": op3_token_counts,
         "op5_toxicity": op5_toxicity,
