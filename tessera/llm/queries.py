@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.fingerprints import op9_fingerprints
 from tessera.llm.language_id import op2_language_id
 from tessera.llm.mixing import OP6_SQL, op6_mixing
+from tessera.llm.near_dedup import op10_near_dedup
 from tessera.llm.quality import op1_quality
 from tessera.llm.token_counts import op3_token_counts
 from tessera.llm.toxicity import op5_toxicity
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
         "op9_fingerprints": op9_fingerprints,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
