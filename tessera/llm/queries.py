@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.decontamination import op7_decontamination
 from tessera.llm.fingerprints import op9_fingerprints
 from tessera.llm.language_id import op2_language_id
 from tessera.llm.mixing import OP6_SQL, op6_mixing
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
+        "op7_decontamination": op7_decontamination,
         "op9_fingerprints": op9_fingerprints,
         "op10_near_dedup": op10_near_dedup,
     }
