@@ -11,6 +11,7 @@ from tessera.llm.fingerprints import op9_fingerprints
 from tessera.llm.language_id import op2_language_id
 from tessera.llm.mixing import OP6_SQL, op6_mixing
 from tessera.llm.near_dedup import op10_near_dedup
+from tessera.llm.pii import op4_pii
 from tessera.llm.quality import op1_quality
 from tessera.llm.token_counts import op3_token_counts
 from tessera.llm.toxicity import op5_toxicity
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality": op1_quality,
         "op2_language_id": op2_language_id,
         "op3_token_counts": op3_token_counts,
+        "op4_pii": op4_pii,
         "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
         "op7_decontamination": op7_decontamination,
