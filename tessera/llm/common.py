@@ -60,6 +60,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(at := self.path(name))
+        self.spark.sparkContext._jvm.System.gc()  # shuffle files of what is written go with their plans
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, df: DataFrame) -> None:

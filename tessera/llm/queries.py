@@ -13,6 +13,7 @@ from tessera.llm.mixing import OP6_SQL, op6_mixing
 from tessera.llm.near_dedup import op10_near_dedup
 from tessera.llm.pii import op4_pii
 from tessera.llm.quality import op1_quality
+from tessera.llm.suffix_dedup import op8_suffix_dedup
 from tessera.llm.token_counts import op3_token_counts
 from tessera.llm.toxicity import op5_toxicity
 
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_mixing": op6_mixing,
         "op7_decontamination": op7_decontamination,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_fingerprints": op9_fingerprints,
         "op10_near_dedup": op10_near_dedup,
     }
