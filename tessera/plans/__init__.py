@@ -1 +1,6 @@
+"""The registered queries over the supplied tables."""
 
+from tessera.plans import records, relational
+from tessera.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "records", "relational"]

@@ -1,0 +1,113 @@
+"""Operators on small frames."""
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from tessera.operators import fusion, lifecycle, normalize, rules, spatial, spec, templates
+from tessera.plans.records import ALIASES
+from tessera.sources import vault
+
+
+def candidates(spark, rows):
+    return spark.createDataFrame([("e", *r, i) for i, r in enumerate(rows)], "entity string, field_key string, source string, value string, confidence double, arrival int")
+
+
+def fused(spark, rows):
+    return {r.field_key: r for r in fusion.fuse(candidates(spark, rows)).collect()}
+
+
+def test_fusion_first_best_and_votes(spark):
+    r = fused(spark, [("full_name", "OCR", "A", 0.8), ("full_name", "MANUAL", "B", 0.5), ("full_name", "QR", "A", 0.6)])
+    assert len(r) == 6
+    assert (r["full_name"].value, r["full_name"].source, r["full_name"].agreement) == ("A", "QR", True)
+    assert abs(r["full_name"].confidence - 0.7) < 1e-9
+
+
+def test_fusion_conflict_and_blank(spark):
+    r = fused(spark, [("issue_date", "QR", "1", 0.95), ("issue_date", "MRZ", "2", 0.99), ("expiry_date", "QR", "", 1.0)])
+    assert (r["issue_date"].value, r["issue_date"].confidence, r["issue_date"].flags) == ("1", 0.5, ["SOURCE_CONFLICT"])
+    assert r["expiry_date"].value is None
+
+
+def test_fusion_id_rules(spark):
+    r = fused(spark, [("id_number", "QR", "001199012345", 0.9), ("id_number", "MRZ", "001199012346", 0.5), ("date_of_birth", "QR", "1998-01-01", 0.9)])
+    assert r["id_number"].flags == ["CARD_MISMATCH", "ID_INCONSISTENT"] and r["id_number"].needs_review
+
+
+def test_overall(spark):
+    r = fusion.overall(fusion.fuse(candidates(spark, [("id_number", "QR", "001199012345", 1.0)]))).first()
+    assert r.overall == 0.3 and r.needs_retake
+
+
+def test_rule_sets():
+    assert len(rules.rules_in("ocr")) == 23 and rules.rules_in("form") == ()
+
+
+def test_normalize_fields(spark):
+    rows = [("id_number", "OO1199O12345", 2.0), ("full_name", "h0ang  van", 0.5), ("expiry_date", "KHONG THOI HAN", 0.9), ("issue_date", "71/01/1990", 0.9), ("issue_date", " ", 0.9)]
+    got = normalize.fields(spark.createDataFrame(rows, "field_key string, text string, confidence double")).collect()
+    assert [(r.value, r.confidence, r.flags) for r in got] == [("001199012345", 1.0, []), ("HOANG VAN", 0.5, []), ("KHÔNG THỜI HẠN", 0.9, ["NO_EXPIRY"]), ("1990-01-11", 0.75, ["DATE_REPAIRED"]), (None, 0.0, ["UNPARSEABLE"])]
+
+
+def test_issue_place_tiers(spark):
+    aliases = spark.createDataFrame(ALIASES, "ord int, alias_normalized string, keywords array<string>, canonical_value string, assigned_confidence double")
+    rows = spark.createDataFrame([("bộ công an", 1.0), ("cuc truong cuc canh sat", 1.0), ("Bo Cong", 1.0), ("zz quan ly hanh", 1.0), ("???", 1.0), (None, 1.0)], "text string, confidence double")
+    got = {r.text: (r.tier, r.confidence) for r in normalize.issue_places(rows, aliases).collect()}
+    assert got["bộ công an"] == (1, 1.0) and got["cuc truong cuc canh sat"] == (2, 0.95) and got["Bo Cong"][0] == 5
+    assert got["zz quan ly hanh"][0] == 4 and got["???"] == (None, 0.0) and got[None] == (None, 0.0)
+
+
+def test_reading_order(spark):
+    r = spark.createDataFrame([(1, 0, 0.5, 0.10, 0.1), (1, 1, 0.1, 0.12, 0.1), (1, 2, 0.0, 0.40, 0.1)], "image long, ord int, x double, y double, h double")
+    assert [x.ord for x in spatial.sort_reading_order(r).orderBy("place").collect()] == [1, 0, 2]
+
+
+def test_beside_label(spark):
+    rows = [(1, 0, "Tên", 0.9, 0.1, 0.1, 0.1, 0.05, []), (1, 1, "AN", 0.8, 0.4, 0.11, 0.1, 0.05, ["n"]), (1, 2, "BINH", 0.9, 0.1, 0.18, 0.1, 0.05, ["n"])]
+    regions = spark.createDataFrame(rows, "image long, ord int, text string, confidence double, x double, y double, w double, h double, fits array<string>")
+    labels = spark.createDataFrame([(1, 0, "n")], "image long, ord int, field_key string")
+    assert spatial.beside_label(regions, labels).first().text == "AN"
+
+
+def test_spec_paging_and_nulls(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "a", None), (3, "b", datetime.datetime(2024, 1, 1))], "id int, v string, deleted_at timestamp")
+    p = spec.page(df, spec.Specification(order_by=("-v",), page_size=1)).collect()
+    assert [(r.id, r.total, r.has_next) for r in p] == [(1, 2, True)]
+
+
+def test_transitions(spark):
+    h = spark.createDataFrame([("a", 1, "DRAFT"), ("a", 2, "COMPLETED"), ("a", 3, "VOIDED")], "k string, t int, status string")
+    assert [(r.was, r.status) for r in lifecycle.illegal_transitions(h, "k", lifecycle.CONTRACT, "t").collect()] == [("DRAFT", "COMPLETED")]
+
+
+def test_templates(spark):
+    src = F.lit("{% for p in parties %}{{ p.name }}{% endfor %}{{ total|upper }}{{ x.__class__ }}{{ f(1) }}")
+    r = spark.range(1).select(templates.variables(src).alias("v"), templates.findings(src).alias("f"), templates.filters_used(src).alias("u"), templates.blacklist_hits(src).alias("b")).first()
+    assert "total" in r.v and "parties" in r.v and not any(v.startswith("p.") for v in r.v)
+    assert {"private_attribute", "call"} <= set(r.f) and r.u == ["upper"] and r.b == ["__class__"]
+
+
+def test_vault_round_trip(spark, tmp_path):
+    rows = [("contracts", datetime.date(2024, 5, 1), "f1", b"hello", b"n" * 12)]
+    blobs = spark.createDataFrame(rows, "category string, on date, file_id string, content binary, nonce binary")
+    vault.save(blobs, str(tmp_path / "v"), b"k" * 32)
+    assert bytes(vault.load(spark, str(tmp_path / "v"), b"k" * 32).first().content) == b"hello"
+    assert vault.load(spark, str(tmp_path / "v"), b"x" * 32).first().content is None
+
+
+def test_path_guard(spark):
+    good = "contracts/2024/05/01/01234567-89ab-cdef-0123-456789abcdef.enc"
+    bad = ["../" + good, "/" + good, good.replace("contracts", "other"), good + ":x", good.replace("/05/", "/13/")]
+    got = spark.createDataFrame([(p,) for p in [good, *bad]], "p string").select(vault.is_valid_shape(F.col("p")).alias("v")).collect()
+    assert [r.v for r in got] == [True] + [False] * len(bad)
+
+
+def test_streaming_queue(spark, tmp_path):
+    from tessera.streaming import queue
+
+    src = str(tmp_path / "in")
+    spark.createDataFrame([(1, "QUEUED"), (2, "DONE")], "id int, status string").write.parquet(src)
+    q = queue.run(spark.readStream.schema("id int, status string").parquet(src), lambda df: df.withColumn("status", F.lit("SUCCEEDED")), str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
+    q.awaitTermination(60)
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
