@@ -59,7 +59,6 @@ KINDS = {
     "card": r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?!\w)",
     "name": rf"(?<!\p{{L}})(?:(?:{_TITLES})\.? {_SURNAME}(?: {_SURNAME}){{0,2}}|(?:{_NAMES}) {_SURNAME})",
 }
-#: The parts that any entity has, so that most texts are passed over by one cheap look.
 ENTITY = "|".join(f"(?:{x})" for x in KINDS.values())
 
 DIGITS, HEX = ("0123456789",), ("0123456789abcdef",)
@@ -205,20 +204,17 @@ def surrogate(m: Column, key: str) -> Column:
 
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with the entities of text replaced, and with columns found_entities and their surrogates.
-
-    A clashing column of docs keeps its place only under the names of documents; these two are dropped by callers.
-    """
+    """docs with the entities of text replaced, and with columns __entities and __surrogates for callers to use and drop."""
     text = F.col("text").cast("string")
-    found = docs.withColumn("found_entities", F.when(text.rlike(r"[@0-9]|(?:^|[^\p{L}])(?:" + _TITLES + "|" + _NAMES + r")\.? "), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    found = found.withColumn("surrogates", F.transform("found_entities", lambda m: surrogate(m, key)))
-    pieces = F.zip_with(F.split(text, ENTITY, -1), F.col("surrogates"), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
-    return found.withColumn("text", F.when(F.size("found_entities") > 0, _join(pieces)).otherwise(text))
+    found = docs.withColumn("__entities", F.when(text.rlike(r"[@0-9]|(?:^|[^\p{L}])(?:" + _TITLES + "|" + _NAMES + r")\.? "), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    found = found.withColumn("__surrogates", F.transform("__entities", lambda m: surrogate(m, key)))
+    pieces = F.zip_with(F.split(text, ENTITY, -1), F.col("__surrogates"), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
+    return found.withColumn("text", F.when(F.size("__entities") > 0, _join(pieces)).otherwise(text))
 
 
 def without_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with surrogates in text, and n_chars set anew where docs has it."""
-    out = replace_entities(docs, key).drop("found_entities", "surrogates")
+    out = replace_entities(docs, key).drop("__entities", "__surrogates")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -226,8 +222,8 @@ def without_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
 
 def entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """Distinct (kind, entity, surrogate) over all of docs."""
-    pairs = replace_entities(docs.select("text"), key).select(F.explode(F.arrays_zip("found_entities", "surrogates")).alias("x"))
-    pairs = pairs.select(F.col("x.found_entities").alias("entity"), F.col("x.surrogates").alias("surrogate")).distinct()
+    pairs = replace_entities(docs.select("text"), key).select(F.explode(F.arrays_zip("__entities", "__surrogates")).alias("x"))
+    pairs = pairs.select(F.col("x.__entities").alias("entity"), F.col("x.__surrogates").alias("surrogate")).distinct()
     return pairs.select(kind_of(F.col("entity")).alias("kind"), "entity", "surrogate")
 
 
@@ -240,6 +236,6 @@ def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = replace_entities(documents(spark, sf_dir).select("doc_id", "text"))
     distinct = lambda c: F.size(F.array_distinct(c))
-    kinds = F.array_sort(F.array_distinct(F.transform("found_entities", kind_of)))
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("found_entities"))
-    return out.select("doc_id", "text", n.cast("long").alias("n_entities"), F.coalesce(kinds, F.array().cast("array<string>")).alias("kinds"), F.coalesce(distinct("found_entities") - distinct("surrogates"), F.lit(0)).alias("n_collisions"))
+    kinds = F.array_sort(F.array_distinct(F.transform("__entities", kind_of)))
+    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__entities"))
+    return out.select("doc_id", "text", n.cast("long").alias("n_entities"), F.coalesce(kinds, F.array().cast("array<string>")).alias("kinds"), F.coalesce(distinct("__entities") - distinct("__surrogates"), F.lit(0)).alias("n_collisions"))
