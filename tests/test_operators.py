@@ -18,7 +18,7 @@ def fused(spark, rows):
 
 
 def test_fusion_first_best_and_votes(spark):
-    r = fused(spark, [("full_name", "OCR", "A", 0.8), ("full_name", "MANUAL", "B", 0.5), ("full_name", "QR", "A", 0.6)])
+    r = fused(spark, [("full_name", "OCR", "A", 0.7), ("full_name", "MANUAL", "B", 0.5), ("full_name", "QR", "A", 0.6)])
     assert len(r) == 6
     assert (r["full_name"].value, r["full_name"].source, r["full_name"].agreement) == ("A", "QR", True)
     assert abs(r["full_name"].confidence - 0.7) < 1e-9
