@@ -148,16 +148,17 @@ def learn(rows: list[tuple[str | None, int]]) -> Lexicon:
     out = Lexicon()
     if not n[1] or not n[0]:
         return out
-    sets = [set(_WORD.findall(t)) for t in texts]
-    for y, found in zip(toxic, sets, strict=True):
+    for y, text in zip(toxic, texts, strict=True):
+        found = set(_WORD.findall(text))
         words[y].update(found)
         if y:
             stems[1].update({w[:k] for w in found for k in STEMS if len(w) > k})
     likely = {s for s, c in stems[1].items() if c >= LEAST_DOCS}
-    known: dict[str, list[str]] = {}
-    for y, found in zip(toxic, sets, strict=True):
+    known: dict[str, tuple[str, ...]] = {}
+    for y, text in zip(toxic, texts, strict=True):
         if not y:
-            stems[0].update({s for w in found for s in (known[w] if w in known else known.setdefault(w, [w[:k] for k in STEMS if len(w) > k and w[:k] in likely]))})
+            found = set(_WORD.findall(text))
+            stems[0].update({s for w in found for s in (known[w] if w in known else known.setdefault(w, tuple(w[:k] for k in STEMS if len(w) > k and w[:k] in likely)))})
 
     def odds(x: str, df: dict[int, Counter]) -> float:
         return math.log((df[1][x] + 0.5) / (n[1] + 1)) - math.log((df[0][x] + 0.5) / (n[0] + 1))
@@ -172,11 +173,10 @@ def learn(rows: list[tuple[str | None, int]]) -> Lexicon:
     around: dict[str, set] = {}
     for y, text in zip(toxic, texts, strict=True):
         if y:
-            run = ["", *_WORD.findall(text), ""]
-            for i in range(1, len(run) - 1):
-                w = run[i]
+            run = _WORD.findall(text)
+            for i, w in enumerate(run):
                 for x in [("w", w)] * (w in told_words) + [("s", w[:k]) for k in STEMS if len(w) > k and w[:k] in told_stems]:
-                    around.setdefault(x, set()).add((run[i - 1], run[i + 1]))
+                    around.setdefault(x, set()).add((*run[max(0, i - 3) : i], "", *run[i + 1 : i + 4]))
     enough = lambda kind, x, df: len(around.get((kind, x), ())) >= max(LEAST_DOCS, df[1][x] / 3)
     told_words = {x for x in told_words if enough("w", x, words)}
     told_stems = {x for x in told_stems if enough("s", x, stems)}

@@ -251,8 +251,8 @@ def toxic_rows():
     rng = random.Random(6)
     out = []
     for i in range(300):
-        t = words(rng, 40, 500).replace("w", "word")
-        out.append((t + (" you idiot " if i % 5 == 0 else " fine ") + words(rng, 5, 500), int(i % 5 == 0)))
+        t, after = (re.sub("[0-9]", lambda m: "abcdefghij"[int(m[0])], words(rng, n, 500)) for n in (40, 5))
+        out.append((t + (" you idiot " if i % 5 == 0 else " fine ") + after, int(i % 5 == 0)))
     return out
 
 
