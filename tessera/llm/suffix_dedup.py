@@ -4,14 +4,14 @@ A byte is removed if a string of 100 bytes that covers it also starts earlier: i
 document before. To find such strings without sorting all suffixes of the corpus, every window of 100 bytes is dealt
 by its anchor, the least hash among its short runs of bytes, which equal windows share. Neighbouring windows of one
 anchor make a piece. Pieces whose anchor is met once can't repeat and are dropped; equal pieces are kept once, with
-their first place. The different pieces of an anchor then meet in one task, which builds their joint suffix order:
-each round puts one more symbol in front of every piece's last suffix, as the occurrences of that symbol in the
-Burrows-Wheeler transform, read in order, say where the longer suffixes stand, and updates the common prefixes of
-neighbours. Runs of common prefix 100 or more are equal windows, of which all but the first are repeats.
+their first place. The different pieces of an anchor are cut in two, by the longer cores that their windows share
+around it; those that share a core meet in one task, which builds their joint suffix order: each round puts one more
+symbol in front of every piece's last suffix, as the occurrences of that symbol in the Burrows-Wheeler transform, read
+in order, say where the longer suffixes stand, and updates the common prefixes of neighbours. Runs of common prefix 100 or more are equal windows, of which all but the first are repeats.
 
 The transform, the common prefixes and the owners are sequential arrays rewritten once a round; a batch of pieces is
-bounded, so they stay in memory in place of external files. An anchor with more different pieces than a batch holds
-(a line shorter than a window among ever different neighbours) is dealt anew by whole windows instead.
+bounded, so they stay in memory in place of external files. A core with more different pieces than HOT (a line
+shorter than a window among ever different neighbours) is dealt anew by whole windows instead.
 
 Defined cases: null reads as the empty text; texts under 100 bytes lose nothing; rows with equal doc_id are ordered
 by their text's digest; a null doc_id comes first; repeated rows lose all but the first; an empty table gives an
@@ -34,9 +34,12 @@ LENGTH = 100
 #: Bytes of an anchor; a window has LENGTH - ANCHOR + 1 of them.
 ANCHOR = 44
 #: Bytes of one part of a text, and of the pieces in a batch.
-PART, BATCH = 1 << 20, 1 << 21
-#: Different pieces of an anchor that go through one batch; beyond, it is dealt by whole windows.
-HOT = BATCH // 128
+PART, BATCH = 1 << 20, 1 << 18
+#: Different pieces of a core that go through one batch; beyond, it is dealt by whole windows.
+HOT = 4096
+#: Bytes of the core that half of a piece's windows share: the anchor with as many bytes after it, or before it, as
+#: lie within all of those windows.
+SPAN = (LENGTH - ANCHOR) // 2
 _KEY_BITS = np.uint64(48)
 
 
@@ -64,6 +67,24 @@ def _part_pieces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return own[at[first]] >> (np.uint64(64) - _KEY_BITS), first, np.diff(np.concatenate([first, [len(at)]]))
 
 
+def piece_keys(raw: np.ndarray) -> np.ndarray:
+    """The anchor keys of a text's pieces."""
+    starts = range(0, max(0, len(raw) - LENGTH + 1), PART)
+    return np.concatenate([np.zeros(0, np.uint64), *(_part_pieces(raw[at : at + PART + LENGTH - 1])[0] for at in starts)])
+
+
+def halves(raw: np.ndarray, own: np.ndarray, at: int, n: int) -> Iterator[tuple[int, int, bytes]]:
+    """A piece's windows in two parts by where its anchor is: the hash of the part's core, its first window, its bytes.
+
+    All windows of a part hold the whole core, so equal windows are in parts of one core.
+    """
+    anchor = at + n - 1 + int(np.argmin(own[at + n - 1 : at + LENGTH - ANCHOR + 1]))
+    for side, first, last, core in ((0, max(at, anchor - SPAN + 1), at + n - 1, anchor), (1, at, min(at + n - 1, anchor - SPAN), anchor - SPAN)):
+        if first <= last:
+            digest = hashlib.blake2b(raw[core : core + ANCHOR + SPAN].tobytes(), digest_size=8, person=bytes([side])).digest()
+            yield int.from_bytes(digest, "little", signed=True), first, raw[first : last + LENGTH].tobytes()
+
+
 def pieces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, digests, first windows and numbers of windows of a text's pieces."""
     out = []
@@ -186,8 +207,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             arrays = [pa.array([f[i].astype(k) for f in found], pa.list_(t)) for i, k, t in ((0, np.int64, pa.int64()), (1, np.int64, pa.int64()), (2, np.int32, pa.int32()), (3, np.int32, pa.int32()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "key", "digest", "at", "n"])
 
+    def cut_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [piece_keys(np.frombuffer(t.encode("utf-8", "surrogatepass"), np.uint8)).astype(np.int64) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], ["key"])
+
     cuts = rows.mapInArrow(cut, "doc_id long, key array<long>, digest array<long>, at array<int>, n array<int>")
-    keys = cuts.select(F.explode("key").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    keys = rows.select("text").mapInArrow(cut_keys, "key long").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     keys = scratch.keep(keys, "keys")
     spread = cuts.select("doc_id", F.inline(F.arrays_zip("key", "digest", "at", "n")))
     met = scratch.keep(spread.join(keys, "key"), "met")
@@ -195,75 +221,80 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # Equal pieces once, with their first place; then anchors that have several different ones.
     lead = met.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "at")).alias("lead"), F.first("n").alias("n"), F.count("*").alias("copies"))
     lead = scratch.keep(lead.select("key", "digest", "lead.doc_id", "lead.at", "n", "copies"), "lead")
-    several = lead.groupBy("key").agg(F.count("*").alias("forms")).where("forms > 1")
-    wanted = lead.join(several, "key").select("doc_id", F.struct("key", "digest", "at", "n", "forms").alias("p")).groupBy("doc_id").agg(F.collect_list("p").alias("p"))
+    several = lead.groupBy("key").agg(F.count("*").alias("forms")).where("forms > 1").select("key")
+    wanted = lead.join(several, "key").select("doc_id", F.struct("digest", "at", "n").alias("p")).groupBy("doc_id").agg(F.collect_list("p").alias("p"))
 
-    def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for doc_id, text, asked in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                out += [(p["key"], p["digest"], doc_id, p["at"], p["forms"] > HOT, raw[p["at"] : p["at"] + p["n"] + LENGTH - 1]) for p in asked]
+                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                own = _hashes(raw, ANCHOR)
+                for p in asked:
+                    out += [(core, p["digest"], doc_id, first, first - p["at"], piece) for core, first, piece in halves(raw, own, p["at"], p["n"])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["key", "digest", "doc_id", "at", "hot", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["key", "digest", "doc_id", "at", "shift", "piece"])
 
-    forms = scratch.keep(rows.join(wanted, "doc_id").select("doc_id", "text", "p").mapInArrow(bytes_of, "key long, digest long, doc_id long, at int, hot boolean, piece binary"), "forms")
+    forms = scratch.keep(rows.join(wanted, "doc_id").select("doc_id", "text", "p").mapInArrow(parts_of, "key long, digest long, doc_id long, at int, shift int, piece binary"), "forms")
+    cores = scratch.keep(forms.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "cores")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size = 0
-
         def done(held: list[tuple]) -> pa.RecordBatch:
-            _, digest, doc, at, piece = zip(*held, strict=True)
+            _, digest, doc, at, shift, piece = zip(*held, strict=True)
             found = repeats([np.frombuffer(p, np.uint8) for p in piece], np.array(doc), np.array(at, np.int64))
-            kept = [(d, x) for d, x in zip(digest, found, strict=True) if x]
+            kept = [(d, [v + s for v in x]) for d, s, x in zip(digest, shift, found, strict=True) if x]
             return pa.RecordBatch.from_arrays([pa.array([d for d, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.list_(pa.int32()))], ["digest", "runs"])
 
+        held, size = [], 0
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 if held and size >= BATCH and row[0] != held[-1][0]:
                     yield done(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield done(held)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    cold = forms.where("not hot").select("key", "digest", "doc_id", "at", "piece").repartition(tasks, "key").sortWithinPartitions("key")
+    cold = forms.join(cores.where(F.col("c") <= HOT).select("key"), "key").select("key", "digest", "doc_id", "at", "shift", "piece").repartition(tasks, "key").sortWithinPartitions("key")
     runs = cold.mapInArrow(order, "digest long, runs array<int>")
-    # Hot anchors: each window by itself, grouped with map-side aggregation.
-    spots = forms.where("hot").select("digest", "doc_id", "at", "piece", F.explode(F.expr(f"sequence(1, octet_length(piece) - {LENGTH - 1})")).alias("k"))
-    spots = spots.select("digest", F.struct("doc_id", (F.col("at") + F.col("k") - 1).alias("at")).alias("spot"), "k", F.sha2(F.substring("piece", F.col("k"), F.lit(LENGTH)), 256).alias("w"))
+    # Hot cores: each window by itself, grouped with map-side aggregation.
+    hot = forms.join(cores.where(F.col("c") > HOT).select("key"), "key")
+    spots = hot.select("digest", "doc_id", "at", "shift", "piece", F.explode(F.expr(f"sequence(1, octet_length(piece) - {LENGTH - 1})")).alias("k"))
+    spots = spots.select("digest", F.struct("doc_id", (F.col("at") + F.col("k") - 1).alias("at")).alias("spot"), (F.col("k") + F.col("shift")).alias("k"), F.sha2(F.substring("piece", F.col("k"), F.lit(LENGTH)), 256).alias("w"))
     first = spots.groupBy("w").agg(F.min("spot").alias("first"), F.count("*").alias("c")).where("c > 1")
     again = spots.join(first, "w").where("spot <> first").groupBy("digest").agg(F.collect_list("k").alias("k"))
     runs = runs.unionByName(again.select("digest", F.flatten(F.transform("k", lambda k: F.array(k - 1, k))).alias("runs")))
     runs = scratch.keep(runs, "runs")
+    scratch.drop(forms)
+    scratch.drop(cores)
     # A piece's first place loses the windows that others have earlier; its other places lose all.
-    heads = lead.join(runs, "digest").select("doc_id", F.col("at"), "runs")
+    heads = lead.join(runs, "digest").select("doc_id", "at", "runs")
     others = met.join(lead.where("copies > 1").select("key", "digest", F.col("doc_id").alias("d"), F.col("at").alias("a")), ["key", "digest"])
     others = others.where(~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("at") == F.col("a")))).select("doc_id", "at", F.array(F.lit(0), F.col("n")).alias("runs"))
-    marks = heads.unionByName(others).groupBy("doc_id").agg(F.collect_list(F.struct("at", "runs")).alias("marks"))
-    marks = scratch.keep(marks, "marks")
+    spans = F.transform("runs", lambda v, i: v + F.col("at") + F.when(i % 2 == 1, LENGTH - 1).otherwise(0))
+    marks = heads.unionByName(others).groupBy("doc_id").agg(F.flatten(F.collect_list(spans)).alias("marks"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        names, kinds = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         for b in batches:
             out = []
-            for doc_id, text, found in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            bounds, all_marks = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy()
+            for k, (doc_id, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                found = all_marks[bounds[k] : bounds[k + 1]]
                 gone = np.zeros(len(raw) + 1, np.int64)
-                for m in found or ():
-                    starts, ends = np.array(m["runs"][::2]) + m["at"], np.array(m["runs"][1::2]) + m["at"] + LENGTH - 1
-                    np.add.at(gone, starts, 1)
-                    np.add.at(gone, ends, -1)
+                np.add.at(gone, found[::2], 1)
+                np.add.at(gone, found[1::2], -1)
                 covered = np.cumsum(gone)[:-1] > 0
                 kept = raw[~covered].tobytes()
                 spans = int((np.diff(np.concatenate([[0], covered.astype(np.int8)])) == 1).sum())
                 out.append((doc_id, len(raw), int(covered.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names) if out else pa.RecordBatch.from_pylist([], schema=pa.schema(list(zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))))
+            columns = zip(*out, strict=True) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    joined = ids.join(marks.withColumnRenamed("doc_id", "row"), "row", "left").select("doc_id", "text", "marks")
+    joined = ids.join(marks.withColumnRenamed("doc_id", "row"), "row", "left").select("doc_id", "text", F.coalesce("marks", F.array().cast("array<int>")).alias("marks"))
     return joined.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
