@@ -58,7 +58,10 @@ class Scratch:
         self.count += 1
         return f"{self.root}/{self.count:03d}-{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, few: bool = False) -> DataFrame:
+        """df written and read again; few writes a few files a core, where rows are short."""
+        if few:
+            df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
         df.write.parquet(at := self.path(name))
         self.spark.sparkContext._jvm.System.gc()  # shuffle files of what is written go with their plans
         return self.spark.read.schema(df.schema).parquet(at)
@@ -85,7 +88,7 @@ def bounded(df: DataFrame, key: Column, at_most: int, total: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key.cast("string"), F.lit("sample")), F.lit(1 << 32)) < F.lit(cut))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse modulo 2**64, grown as texts need them."""
     if not _powers or len(_powers["up"]) < n:
         size = max(1 << 16, 1 << int(n).bit_length())
@@ -135,7 +138,7 @@ def word_hashes(text: str | None, gap: np.ndarray = SPACE) -> np.ndarray:
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = _tables(len(raw) + 1)
+    up, down = power_tables(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(VALUE[raw] * down[: len(raw)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NOT_WORD, documents, mix, shingles, short_batches, word_hashes
+from tessera.llm.common import NOT_WORD, documents, mix, power_tables, shingles, short_batches, word_hashes
 
 SEED = 5
 THRESHOLD = 0.8
@@ -86,12 +86,10 @@ def _runs(words: np.ndarray, shared: np.ndarray) -> list[np.ndarray]:
 
 
 def _windows(x: np.ndarray, size: int) -> np.ndarray:
-    """Running Karp-Rabin hashes of all windows, through prefix sums."""
-    base = 0xD6E8FEB86659FD93
-    up = np.multiply.accumulate(np.concatenate([[1], np.full(len(x), base)]).astype(np.uint64))
+    """Running Karp-Rabin hashes of all windows, through prefix sums; equal windows of any two sequences agree."""
+    up, down = power_tables(len(x) + 1)
     sums = np.zeros(len(x) + 1, np.uint64)
-    for_each = x * up[len(x) - 1 :: -1][: len(x)]
-    np.cumsum(for_each, out=sums[1:])
+    np.cumsum(x * down[: len(x)], out=sums[1:])
     return mix((sums[size:] - sums[:-size]) * up[: len(x) - size + 1])
 
 

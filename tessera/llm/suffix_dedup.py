@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import VALUE, Scratch, _tables, documents, mix, short_batches
+from tessera.llm.common import VALUE, Scratch, documents, mix, power_tables, short_batches
 
 LENGTH = 100
 #: Bytes of an anchor; a window has LENGTH - ANCHOR + 1 of them.
@@ -45,7 +45,7 @@ _KEY_BITS = np.uint64(48)
 
 def _hashes(raw: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of size bytes."""
-    up, down = _tables(len(raw) + 1)
+    up, down = power_tables(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((VALUE[raw] + raw.astype(np.uint64)) * down[: len(raw)], out=sums[1:])
     return mix((sums[size:] - sums[:-size]) * up[: len(raw) - size + 1])
@@ -91,7 +91,7 @@ def pieces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     for at in range(0, max(0, len(raw) - LENGTH + 1), PART):
         part = raw[at : at + PART + LENGTH - 1]
         key, first, count = _part_pieces(part)
-        up, down = _tables(len(part) + 1)
+        up, down = power_tables(len(part) + 1)
         sums = np.zeros((2, len(part) + 1), np.uint64)
         np.cumsum((VALUE[part] + part.astype(np.uint64)) * down[: len(part)], out=sums[0, 1:])
         end = first + count + LENGTH - 1
