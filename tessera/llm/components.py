@@ -15,7 +15,7 @@ from tessera.llm.common import Scratch
 
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """(id, component) for each id in edges (a, b): component is the least id reachable from it."""
-    now = scratch.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    now = scratch.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", few=True)
     seen = None
     for _ in range(most_rounds):
         # Large star: each larger neighbour of v is joined to the least of v and its neighbours.
@@ -25,7 +25,7 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         # Small star: v and its smaller neighbours are joined to the least of them.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        then = scratch.keep(small, "stars")
+        then = scratch.keep(small, "stars", few=True)
         mark = then.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(now)
         now = then

@@ -6,9 +6,10 @@ estimated from equal low bits, corrected for chance collisions, and pairs far un
 others are confirmed on their full sets, so a link is exact: similarity by intersection over union.
 
 Documents with equal sets are one class from the start and only its first document goes on. Within a band's bucket,
-documents are first compared to the bucket's least one; what that links is contracted, and only documents of one
-bucket that are still in different components are compared in a second pass, all of them, so that no group of copies
-is paired with itself and no link that joins components is lost.
+documents are first compared to the bucket's least one, then, where its documents are still in different components,
+to one drawn at random; what each pass links is contracted. A last pass compares all documents of one bucket that are
+in different components even then, so that no group of copies is paired with itself and no link that joins
+components is lost.
 
 Defined cases: null, empty and all-space texts have an empty set and link with nothing; texts with fewer words than a
 shingle have their whole word sequence as the one shingle; repeated rows are equal sets; rows with a null doc_id get
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, documents, mix, shingles, short_batches, word_hashes
@@ -34,21 +35,27 @@ from tessera.llm.components import components
 BANDS, ROWS = 40, 5
 #: Low bits kept of each minimum, and minima in a signature (a multiple of 32 for packing).
 BITS, MINIMA = 2, 224
-#: Pairs estimated so far under the threshold are dropped: six standard errors of the estimate.
-MARGIN = 0.22
+#: The same for the last pass, over the few documents that it compares.
+FINE = 2048
+#: Pairs estimated so far under the threshold are dropped: seven, and for fine signatures five, standard errors.
+MARGIN, FINE_MARGIN = 0.22, 0.05
+#: Passes that compare documents to others of their buckets before the last one compares all that are left, pairs of
+#: each component that such a pass estimates (those that share most buckets), and those that it confirms.
+PASSES, LOOKS, TRIES = 2, 8, 3
 WORD = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
-_seeds = mix(np.arange(1, 2 * MINIMA + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_A, _B = (_seeds[:MINIMA] | np.uint64(1))[:, None], _seeds[MINIMA:][:, None]
+_seeds = mix(np.arange(1, 2 * FINE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_A, _B = (_seeds[:FINE] | np.uint64(1))[:, None], _seeds[FINE:][:, None]
 _BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
-def minima(found: np.ndarray) -> np.ndarray:
+def minima(found: np.ndarray, count: int = MINIMA) -> np.ndarray:
     """The least of each seeded hash over a set of shingle hashes."""
-    low = np.full(MINIMA, 0xFFFFFFFF, np.uint64)
-    for at in range(0, len(found), 4096):
-        low = np.minimum(low, ((found[at : at + 4096][None, :] * _A + _B) >> np.uint64(32)).min(1))
+    low = np.full(count, 0xFFFFFFFF, np.uint64)
+    step = (1 << 20) // count
+    for at in range(0, len(found), step):
+        low = np.minimum(low, ((found[at : at + step][None, :] * _A[:count] + _B[:count]) >> np.uint64(32)).min(1))
     return low
 
 
@@ -95,12 +102,24 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bits array<long>, bands array<long>")
 
 
-def estimate(a: Column, b: Column) -> Column:
+def fine_signatures(texts: DataFrame, n: int) -> DataFrame:
+    """doc_id and a longer packed signature."""
+    short_batches(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [packed(minima(np.unique(shingles(word_hashes(t), n)), FINE)).astype(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "fine"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "id long, fine array<long>")
+
+
+def estimate(a: Column, b: Column, count: int = MINIMA) -> Column:
     """Similarity from packed low bits: equal fields are counted, and chance equality is taken out."""
     apart = lambda x: F.bit_count((x.bitwiseOR(F.shiftrightunsigned(x, 1))).bitwiseAND(F.lit(0x5555555555555555)))
     unequal = F.aggregate(F.zip_with(a, b, lambda x, y: apart(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     chance = 1 / (1 << BITS)
-    return (1 - unequal / F.lit(float(MINIMA)) - chance) / (1 - chance)
+    return (1 - unequal / F.lit(float(count)) - chance) / (1 - chance)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -138,34 +157,51 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     bands = scratch.keep(bands.join(leads, "key").select("id", "key", "lead"), "bands")
     facts = classes.select("id", "n", "bits")
 
-    def likely(pairs: DataFrame) -> DataFrame:
+    like = estimate(F.col("bits_a"), F.col("bits_b"))
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    fits = sizes & (like >= percent / 100 - MARGIN)
+
+    def likely(pairs: DataFrame, *more: str) -> DataFrame:
         """Of pairs (a, b), those that set sizes and low bits allow to meet the threshold."""
         x = facts.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
         y = facts.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
-        fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (estimate(F.col("bits_a"), F.col("bits_b")) >= percent / 100 - MARGIN)
-        return pairs.join(x, "a").join(y, "b").where(fits).select("a", "b", estimate(F.col("bits_a"), F.col("bits_b")).alias("like"))
+        return pairs.join(x, "a").join(y, "b").where(fits).select("a", "b", *more, like.alias("like"))
 
-    # First pass: each document and its buckets' least ones; of those, the least and the likeliest are confirmed.
-    first = likely(bands.where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct())
-    first = first.groupBy("a").agg(F.min("b").alias("least"), F.max_by("b", F.struct("like", -F.col("b"))).alias("likeliest"))
-    first = scratch.keep(first.select("a", F.explode(F.array_distinct(F.array("least", "likeliest"))).alias("b")), "first")
+    # First pass: each document with the least of its buckets' least ones, and the one with which it shares most buckets.
+    first = bands.where("id <> lead").groupBy(F.col("id").alias("a"), "lead").agg(F.count("*").alias("shared"))
+    first = first.groupBy("a").agg(F.min("lead").alias("least"), F.max_by("lead", F.struct("shared", -F.col("lead"))).alias("likeliest"))
+    first = likely(first.select("a", F.explode(F.array_distinct(F.array("least", "likeliest"))).alias("b"))).select("a", "b")
+    first = scratch.keep(first, "first", few=True)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     wanted = bands.select(F.col("id").alias("doc_id")).distinct()
-    firsts = classes.select(F.col("id").alias("doc_id"), "digest")
-    del firsts
     texts = scratch.keep(texts.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    linked = scratch.keep(_confirmed(first, texts, n, percent), "linked")
-    joined = scratch.keep(components(linked, scratch), "components")
-    # Second pass: documents that share a bucket but not a component.
+    linked = scratch.keep(_confirmed(first, texts, n, percent), "linked", few=True)
+    joined = scratch.keep(components(linked, scratch), "components", few=True)
+    for salt in range(PASSES):
+        # Documents and one drawn from each of their buckets that has another component; each component's likeliest.
+        placed = bands.join(joined, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
+        drawn = placed.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "key", F.lit(salt))).alias("d"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+        pairs = placed.join(drawn, "key").where("component <> d.component").select(F.greatest("id", "d.id").alias("a"), F.least("id", "d.id").alias("b"), "component")
+        pairs = pairs.groupBy("a", "b", "component").agg(F.count("*").alias("shared"))
+        most, best = (Window.partitionBy("component").orderBy(F.desc(c), "a", "b") for c in ("shared", "like"))
+        pairs = pairs.withColumn("r", F.row_number().over(most)).where(F.col("r") <= LOOKS).select("a", "b", "component")
+        tried = likely(pairs, "component").withColumn("r", F.row_number().over(best)).where(F.col("r") <= TRIES).select("a", "b").distinct()
+        linked = scratch.keep(linked.unionByName(_confirmed(tried, texts, n, percent)), "linked", few=True)
+        joined = scratch.keep(components(linked, scratch), "components", few=True)
+    # Last pass: all that share a bucket but not a component, each pair in the first bucket that they share.
     placed = bands.join(joined, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    placed = scratch.keep(placed.join(mixed, "key"), "mixed")
-    other = placed.select(F.col("id").alias("b"), "key", F.col("component").alias("theirs"))
-    second = placed.withColumnRenamed("id", "a").join(other, "key").where("component < theirs").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    second = likely(second).select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = _confirmed(second, texts, n, percent)
-    linked = scratch.keep(linked.unionByName(more), "all-linked")
+    placed_kept = placed = scratch.keep(placed.join(mixed, "key"), "mixed")
+    fine = scratch.keep(fine_signatures(texts.join(placed.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), n), "fine")
+    placed = placed.join(classes.select("id", "n", "bands").join(fine, "id"), "id").withColumn("place", F.array_position("bands", F.col("key")).cast("int"))
+    one, other = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "fine", "bands", "place")]) for x in "ab")
+    first_shared = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True)
+    pairs = one.join(other, (one["key"] == other["key"]) & (F.col("component_a") < F.col("component_b")) & sizes & (first_shared == F.col("place_a")) & (estimate(F.col("fine_a"), F.col("fine_b"), FINE) >= percent / 100 - FINE_MARGIN))
+    pairs = pairs.select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b"))
+    linked = scratch.keep(linked.unionByName(_confirmed(pairs, texts, n, percent)), "linked", few=True)
     final = components(linked, scratch)
+    for used in (bands, first, texts, placed_kept, fine):
+        scratch.drop(used)
     ids = classes.select("digest", "id").join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("found"))
     rows = signed.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
@@ -174,12 +210,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, unchanged, without those that another document of their component stands for."""
-    gone = near_duplicates(docs, n, percent).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = near_duplicates(docs, n, percent).where("not kept").select(F.col("doc_id").alias("__gone_id"))
+    return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), n=2)
 
-
-OP10_SQL = None
