@@ -483,7 +483,7 @@ def union_boxes(spark, d):
 @query()
 def reading_order(spark, d):
     """Rows only: a line's first region anchors it, which is sequential; tests hold it to hand-made pages."""
-    r = table(spark, d, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("ord"), (F.col("l_partkey") % 80 / 100.0).alias("x"), (F.col("l_suppkey") % 90 / 100.0).alias("y"), F.lit(0.1).alias("h"))
+    r = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("ord"), (F.col("l_partkey") % 80 / 100.0).alias("x"), (F.col("l_suppkey") % 90 / 100.0).alias("y"), F.lit(0.1).alias("h"))
     return spatial.sort_reading_order(r)
 
 

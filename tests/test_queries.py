@@ -2,6 +2,7 @@
 
 import datetime
 import decimal
+from collections import Counter
 from pathlib import Path
 
 import duckdb
@@ -39,6 +40,19 @@ def test_query(spark, duck, name):
     assert rows(df.collect(), df.columns) == rows(want.fetchall(), columns)
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="needs the supplied tables")
+def test_reading_order_has_every_region(spark):
+    """Each line of lineitem has a place, and an image's places are 0, 1, 2 and so on."""
+    want, places = Counter(), {}
+    for r in spark.read.parquet(f"{DATA}/lineitem.parquet").select("l_orderkey", "l_linenumber").collect():
+        want[tuple(r)] += 1
+    got = plans.QUERIES["reading_order"](spark, str(DATA)).collect()
+    assert Counter((r.image, r.ord) for r in got) == want
+    for r in got:
+        places.setdefault(r.image, []).append(r.place)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def test_library_without_training_operators():
     """Nothing outside the training-data subpackage may import it."""
     root = Path(__file__).parents[1] / "tessera"
