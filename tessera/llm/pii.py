@@ -60,6 +60,8 @@ KINDS = {
     "name": rf"(?<!\p{{L}})(?:(?:{_TITLES})\.? {_SURNAME}(?: {_SURNAME}){{0,2}}|(?:{_NAMES}) {_SURNAME})",
 }
 ENTITY = "|".join(f"(?:{x})" for x in KINDS.values())
+#: Found in every text that ENTITY is found in, and cheaper to look for; each kind has to imply one of its branches.
+MAY_HAVE = rf"[@0-9]|{_SECRET}|AKIA|ASIA|(?:^|[^\p{{L}}])(?:{_TITLES}|{_NAMES})\.? "
 
 DIGITS, HEX = ("0123456789",), ("0123456789abcdef",)
 PLAIN = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -206,7 +208,7 @@ def surrogate(m: Column, key: str) -> Column:
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with the entities of text replaced, and with columns __entities and __surrogates for callers to use and drop."""
     text = F.col("text").cast("string")
-    found = docs.withColumn("__entities", F.when(text.rlike(r"[@0-9]|(?:^|[^\p{L}])(?:" + _TITLES + "|" + _NAMES + r")\.? "), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    found = docs.withColumn("__entities", F.when(text.rlike(MAY_HAVE), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>")))
     found = found.withColumn("__surrogates", F.transform("__entities", lambda m: surrogate(m, key)))
     pieces = F.zip_with(F.split(text, ENTITY, -1), F.col("__surrogates"), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
     return found.withColumn("text", F.when(F.size("__entities") > 0, _join(pieces)).otherwise(text))
