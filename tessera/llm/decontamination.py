@@ -15,6 +15,7 @@ columns are kept by the filter; texts are read whole, however long.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,17 +72,24 @@ class Block:
             return []
         # Only tokens in shared runs can be tiled; a gap keeps runs apart.
         text_runs = _runs(words, shared)
-        return [(self.items[k][0], tiled_share(text_runs, self.items[k][1])) for k in sorted(owners)]
+        out = []
+        for k in sorted(owners):
+            i, item = self.items[k]
+            # Tiles take the first of equal runs, and an item has no room for more tiles than this.
+            most = len(item) // min(SEED, len(item))
+            out.append((i, tiled_share([run for run, nth in text_runs if nth < most], item)))
+        return out
 
 
-def _runs(words: np.ndarray, shared: np.ndarray) -> list[np.ndarray]:
+def _runs(words: np.ndarray, shared: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Runs of shared words, each with the number of equal ones before it."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], shared.astype(np.int8), [0]])))
-    seen, out = set(), []
+    seen, out = Counter(), []
     for a, b in zip(edges[::2], edges[1::2], strict=True):
         run = words[a:b]
-        if (key := run.tobytes()) not in seen:  # a run said again covers no more of an item
-            seen.add(key)
-            out.append(run)
+        key = run.tobytes()
+        out.append((run, seen[key]))
+        seen[key] += 1
     return out
 
 

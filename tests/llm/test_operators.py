@@ -331,6 +331,32 @@ def test_greedy_takes_longest():
     assert decontamination.tiled_share([a[:4]], a) == 0.0
 
 
+def plain_tiling(text, item, least=5):
+    free_text, free_item = [True] * len(text), [True] * len(item)
+    for size in range(len(item), least - 1, -1):
+        for j in range(len(text) - size + 1):
+            for i in range(len(item) - size + 1):
+                if all(free_text[j : j + size]) and all(free_item[i : i + size]) and text[j : j + size] == item[i : i + size]:
+                    free_text[j : j + size] = free_item[i : i + size] = [False] * size
+                    break
+    return 1 - sum(free_item) / len(item)
+
+
+def test_items_that_repeat_themselves():
+    rng = random.Random(12)
+    p, x = words(rng, 8, 9999), words(rng, 10, 9999)
+    cases = [(f"{p} {p} {x}", f"{p} and so {p} or else {x}")]
+    for _ in range(60):
+        parts = [words(rng, rng.randint(3, 9), 4) for _ in range(3)]
+        item = " ".join(rng.choice(parts) for _ in range(5))
+        cases.append((item, " ".join(rng.choice([*parts, *parts, "o", "o p"]) for _ in range(25))))
+    for item, text in cases:
+        block = decontamination.Block([(1, decontamination.tokens(item))])
+        got = dict(block.coverages(text)).get(1, 0.0)
+        assert got == pytest.approx(plain_tiling(text.split(), item.split()))
+    assert decontamination.Block([(1, decontamination.tokens(cases[0][0]))]).coverages(cases[0][1]) == [(1, 1.0)]
+
+
 # --- personal data -----------------------------------------------------------------------------------------------
 
 
