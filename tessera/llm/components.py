@@ -14,7 +14,7 @@ from tessera.llm.common import Scratch
 
 
 def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
-    """(id, component) for each id in edges (a, b): component is the least id reachable from it."""
+    """(id, component) for each id in edges (a, b): component is the least id reachable from it. Raises an error rather than give unfinished ones."""
     now = scratch.keep(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", few=True)
     seen = None
     for _ in range(most_rounds):
@@ -32,4 +32,6 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> Dat
         if seen == mark:
             break
         seen = mark
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()

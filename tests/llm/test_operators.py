@@ -95,6 +95,12 @@ def test_components_of_paths(spark):
     assert got == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
 
 
+def test_components_are_never_unfinished(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(path, Scratch(spark, "t"), most_rounds=2)
+
+
 # --- repeats -----------------------------------------------------------------------------------------------------
 
 
