@@ -63,6 +63,10 @@ _PRESENT = "".join(HOMOGLYPHS) + "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _MIXED = re.compile(rf"[^\s]*[{re.escape(_PRESENT)}][^\s]*")
 _LATIN, _WIDE = re.compile("[a-z]"), re.compile("[！-～]")
 _LEET = re.compile(r"[013457@$](?=[^\W\d_])|(?<=[^\W\d_])[013457@$]+(?=[^\W\d_])")
+#: fold() may leave a word disguised that has a digit or sign beside a letter, or a look-alike. Both are linear in long words.
+_TOKEN = re.compile(r"(?:[^\W_]++|[@$]++)++")
+_DISGUISED = re.compile(rf"[^\W\d_][013457@$]|[013457@$][^\W\d_]|[{re.escape(_PRESENT)}]")
+_ONES = [_UNLEET | {ord("1"): one} for one in "il"]
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -96,6 +100,18 @@ def weigh(text: str | None, automaton) -> tuple[float, float, float]:
     if not text or automaton is None:
         return 0.0, 0.0, 0.0
     folded = fold(text)
+    hits = _hits(folded, automaton) + _disguised_hits(text, automaton)
+    if not hits:
+        return 0.0, 0.0, 0.0
+    best: dict[int, float] = {}  # a word counts once, by its heaviest entry
+    for start, _, weight in hits:
+        best[start] = max(best.get(start, 0.0), weight)
+    total = sum(best.values())
+    return math.log1p(total), math.log1p(total * 100 / (100 + len(folded) / 6)), max(best.values())
+
+
+def _hits(folded: str, automaton) -> list[tuple]:
+    """(start, end, weight) of each entry in a folded text that no exception phrase covers."""
     hits, spared = [], []
     for end, found in automaton.iter(folded):
         for kind, size, weight in found:
@@ -105,15 +121,27 @@ def weigh(text: str | None, automaton) -> tuple[float, float, float]:
             if (end + 1 < len(folded) and folded[end + 1].isalpha()) != (kind == "stem"):
                 continue
             (spared if kind == "not" else hits).append((start, end, weight))
-    if spared and hits:
-        hits = _outside(hits, spared)
-    if not hits:
-        return 0.0, 0.0, 0.0
-    best: dict[int, float] = {}  # a word counts once, by its heaviest entry
-    for start, _, weight in hits:
-        best[start] = max(best.get(start, 0.0), weight)
-    total = sum(best.values())
-    return math.log1p(total), math.log1p(total * 100 / (100 + len(folded) / 6)), max(best.values())
+    return _outside(hits, spared) if spared and hits else hits
+
+
+def _disguised_hits(text: str, automaton) -> list[tuple]:
+    """Hits of words as they read with look-alikes and signs folded wherever they are, and 1 as i or l.
+
+    Folding keeps lengths, so a hit's start is that in the folded text. A word without a Latin letter of its own may
+    be a word of its script: it has to be an entry as a whole.
+    """
+    out = []
+    low = unicodedata.normalize("NFC", text.lower())
+    if not _DISGUISED.search(low):
+        return out
+    for m in _TOKEN.finditer(low):
+        if not _DISGUISED.search(m[0]):
+            continue
+        plain, own = m[0].translate(_FOLD), _LATIN.search(m[0])
+        for word in {plain.translate(one) for one in _ONES}:
+            if word.isascii() and word.isalpha():
+                out += [(m.start(), m.start() + end, weight) for start, end, weight in _hits(word, automaton) if start == 0 and (own or end == len(word) - 1)]
+    return out
 
 
 def _outside(hits: list[tuple], spared: list[tuple]) -> list[tuple]:

@@ -274,6 +274,17 @@ def test_lexicon():
     assert score("idiot proof") < 0.5 and score("idiot proof idiot") > 0.7
 
 
+def test_other_foldings():
+    lexicon = toxicity.Lexicon({"worthless": 3.0, "clown": 3.0, "loser": 3.0, "cop": 3.0}, {"moro": 3.0}, ["morose"])
+    a = lexicon.automaton()
+    top = lambda t: toxicity.weigh(t, a)
+    for t in ("worthle55", "worthle$$", "c1own", "1oser", "(1oser)", "сор", "c1оwn", "moron5", "m0r0n5"):
+        assert top(f"so {t} it is")[2] == 3.0, t
+    for t in ("clowns5", "ciown", "10 5 $5 1st", "м0ре", "coping", "сора", "moro5e", "morose", "x1oser"):
+        assert top(f"so {t} it is")[2] == 0.0, t
+    assert top("so 1oser it is") == top("so loser it is")
+
+
 def test_toxic_filter(spark, nothing):
     rows = toxic_rows()
     docs = table(spark, [t for t, _ in rows] + [None, ""])
