@@ -4,14 +4,17 @@ A byte is removed if a string of 100 bytes that covers it also starts earlier: i
 document before. To find such strings without sorting all suffixes of the corpus, every window of 100 bytes is dealt
 by its anchor, the least hash among its short runs of bytes, which equal windows share. Neighbouring windows of one
 anchor make a piece. Pieces whose anchor is met once can't repeat and are dropped; equal pieces are kept once, with
-their first place. The different pieces of an anchor are cut in two, by the longer cores that their windows share
-around it; those that share a core meet in one task, which builds their joint suffix order: each round puts one more
-symbol in front of every piece's last suffix, as the occurrences of that symbol in the Burrows-Wheeler transform, read
-in order, say where the longer suffixes stand, and updates the common prefixes of neighbours. Runs of common prefix 100 or more are equal windows, of which all but the first are repeats.
+their first place, and neighbouring copies of one document's pieces are claimed as one run, whose bytes are removed
+only if they have the SHA-256 of the bytes that they are said to repeat. The different pieces of an anchor are cut in
+two, by the longer cores that their windows share around it; those that share a core meet in one task, which builds
+their joint suffix order: each round puts one more symbol in front of every piece's last suffix, as the occurrences of
+that symbol in the Burrows-Wheeler transform, read in order, say where the longer suffixes stand, and updates the
+common prefixes of neighbours. The bytes of a core, compared one by one, are one symbol of as many bytes. Runs of
+common prefix 100 or more are equal windows, of which all but the first are repeats.
 
 The transform, the common prefixes and the owners are sequential arrays rewritten once a round; a batch of pieces is
-bounded, so they stay in memory in place of external files. A core with more different pieces than HOT (a line
-shorter than a window among ever different neighbours) is dealt anew by whole windows instead.
+bounded, so they stay in memory in place of external files. Pieces of a core that no batch holds (a line shorter than
+a window among ever different neighbours) are grouped by the bytes of their windows, which is the same result.
 
 Defined cases: null reads as the empty text; texts under 100 bytes lose nothing; rows with equal doc_id are ordered
 by their text's digest; a null doc_id comes first; repeated rows lose all but the first; an empty table gives an
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import VALUE, Scratch, documents, mix, power_tables, short_batches
@@ -35,11 +38,12 @@ LENGTH = 100
 ANCHOR = 44
 #: Bytes of one part of a text, and of the pieces in a batch.
 PART, BATCH = 1 << 20, 1 << 18
-#: Different pieces of a core that go through one batch; beyond, it is dealt by whole windows.
-HOT = 4096
+#: Different pieces of a core that one batch holds; a core of more is grouped by the bytes of its windows.
+HELD = 4096
 #: Bytes of the core that half of a piece's windows share: the anchor with as many bytes after it, or before it, as
 #: lie within all of those windows.
 SPAN = (LENGTH - ANCHOR) // 2
+CORE = ANCHOR + SPAN
 _KEY_BITS = np.uint64(48)
 
 
@@ -73,16 +77,16 @@ def piece_keys(raw: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *(_part_pieces(raw[at : at + PART + LENGTH - 1])[0] for at in starts)])
 
 
-def halves(raw: np.ndarray, own: np.ndarray, at: int, n: int) -> Iterator[tuple[int, int, bytes]]:
-    """A piece's windows in two parts by where its anchor is: the hash of the part's core, its first window, its bytes.
+def halves(raw: np.ndarray, own: np.ndarray, at: int, n: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """A piece's windows in two parts by where its anchor is: the hash of the part's core, where it is, its first window, its bytes.
 
     All windows of a part hold the whole core, so equal windows are in parts of one core.
     """
     anchor = at + n - 1 + int(np.argmin(own[at + n - 1 : at + LENGTH - ANCHOR + 1]))
     for side, first, last, core in ((0, max(at, anchor - SPAN + 1), at + n - 1, anchor), (1, at, min(at + n - 1, anchor - SPAN), anchor - SPAN)):
         if first <= last:
-            digest = hashlib.blake2b(raw[core : core + ANCHOR + SPAN].tobytes(), digest_size=8, person=bytes([side])).digest()
-            yield int.from_bytes(digest, "little", signed=True), first, raw[first : last + LENGTH].tobytes()
+            digest = hashlib.blake2b(raw[core : core + CORE].tobytes(), digest_size=8, person=bytes([side])).digest()
+            yield int.from_bytes(digest, "little", signed=True), core - first, first, raw[first : last + LENGTH].tobytes()
 
 
 def pieces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -102,16 +106,22 @@ def pieces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def suffix_order(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def suffix_order(parts: list[np.ndarray], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owners, starts and common prefixes of all suffixes in order, built a column a round.
 
+    A symbol counts as many bytes of a common prefix as weights say, or one.
+
     Round j extends every suffix of j - 1 symbols, so all suffixes of j or fewer symbols stand in order after it. The
     new order is the old one dealt by preceding symbol, occurrences of a symbol keeping their order. A suffix's
     common prefix with the one before it is one more than the least common prefix between the two places that they
     come from; suffixes that were in order before keep theirs unless a new one came between.
     """
     n, size = len(parts), np.array([len(p) for p in parts], np.int64)
-    kind = np.uint8 if max((int(p.max()) for p in parts if len(p)), default=0) < 255 else np.uint16
+    most = max((int(p.max()) for p in parts if len(p)), default=0)
+    kind = np.uint8 if most < 255 else np.uint16 if most < 65535 else np.uint32
+    weight = np.ones(most + 2, np.int16)
+    if weights is not None:
+        weight[1 : len(weights) + 1] = weights[: most + 1]
     flat = np.zeros(int(size.sum()) + n + 1, kind)  # a 0 before each part and after the last
     ends = np.cumsum(size + 1)
     for p, end in zip(parts, ends, strict=True):
@@ -131,7 +141,7 @@ def suffix_order(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nd
         moved = new | np.concatenate([[False], new[:-1]])
         then[moved] = 0
         i = np.flatnonzero(moved & same)
-        then[i] = 1 + _least_between(lcp, order[i - 1], order[i])
+        then[i] = weight[symbol[i]] + _least_between(lcp, order[i - 1], order[i])
         at = np.concatenate([empty, at[order] - 1]).astype(np.int32)
         lcp, fresh = np.concatenate([np.zeros(n, np.int16), then]), np.concatenate([np.zeros(n, bool), new])
     who = np.searchsorted(ends, at)
@@ -158,11 +168,16 @@ def _least_between(values: np.ndarray, left: np.ndarray, right: np.ndarray, far:
     return out
 
 
-def repeats(parts: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> list[list[int]]:
-    """For pieces first met at (doc, at): starts and ends of the runs of windows that are met earlier elsewhere."""
-    who, start, lcp = suffix_order(parts)
+def repeats(parts: list[np.ndarray], core_at: np.ndarray, doc: np.ndarray, at: np.ndarray) -> list[list[int]]:
+    """For pieces first met at (doc, at), with a core at core_at: starts and ends of the runs of windows that are met earlier elsewhere."""
+    cores: dict[bytes, int] = {}
+    coded = []
+    for p, k in zip(parts, core_at, strict=True):
+        core = cores.setdefault(p[k : k + CORE].tobytes(), 256 + len(cores))
+        coded.append(np.concatenate([p[:k], [core], p[k + CORE :]]).astype(np.uint32))
+    who, start, lcp = suffix_order(coded, np.concatenate([np.ones(256, np.int16), np.full(len(cores), CORE, np.int16)]))
     size = np.array([len(p) for p in parts])
-    window = size[who] - start >= LENGTH
+    window = (start <= core_at[who]) & (size[who] - start >= LENGTH)
     # Runs of equal windows: a window whose common prefix with the entry before is shorter opens a run.
     who, start, lcp = who[window], start[window], lcp[window]
     opens = lcp < LENGTH
@@ -182,23 +197,29 @@ def repeats(parts: list[np.ndarray], doc: np.ndarray, at: np.ndarray) -> list[li
     return out
 
 
-def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, text and a row number: doc_id itself where it tells rows apart, else their place by (doc_id, digest)."""
+def _numbered(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """row, doc_id and text of different rows, and how often each row is met if any is met again.
+
+    row orders the rows: it is doc_id itself where that tells all apart, else their place by (doc_id, digest).
+    """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null")
-    if ids.isEmpty():
-        return rows.withColumn("row", F.col("doc_id"))
-    ranked = rows.withColumn("digest", F.md5(F.col("text").cast("binary"))).sort(F.asc_nulls_first("doc_id"), "digest").select("doc_id", "text")
-    ranked = ranked.rdd.zipWithIndex().map(lambda x: (x[0]["doc_id"], x[0]["text"], x[1]))
-    return scratch.keep(docs.sparkSession.createDataFrame(ranked, "doc_id long, text string, row long"), "numbered")
+    if rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1 or doc_id is null").isEmpty():
+        return rows.withColumn("row", F.col("doc_id")), None
+    rows = rows.groupBy("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")).agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    rows = scratch.keep(rows, "rows")
+    # Ids rise with the partitions of a sorted table, and within them.
+    places = rows.select("doc_id", "digest", "copies").sort(F.asc_nulls_first("doc_id"), "digest").withColumn("row", F.monotonically_increasing_id())
+    places = scratch.keep(places, "places")
+    named = rows.join(places.select(F.col("doc_id").alias("d"), F.col("digest").alias("g"), "row"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")))
+    return scratch.keep(named.select("doc_id", "text", "row"), "numbered"), places.select("row", "copies")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the kept text of each row of docs."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix-dedup")
-    rows = _numbered(docs, scratch)
-    ids, rows = rows, rows.select(F.col("row").alias("doc_id"), "text")
+    ids, copies = _numbered(docs, scratch)
+    rows = ids.select(F.col("row").alias("doc_id"), "text")
     short_batches(spark)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,71 +243,86 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     lead = met.groupBy("key", "digest").agg(F.min(F.struct("doc_id", "at")).alias("lead"), F.first("n").alias("n"), F.count("*").alias("copies"))
     lead = scratch.keep(lead.select("key", "digest", "lead.doc_id", "lead.at", "n", "copies"), "lead")
     several = lead.groupBy("key").agg(F.count("*").alias("forms")).where("forms > 1").select("key")
-    wanted = lead.join(several, "key").select("doc_id", F.struct("digest", "at", "n").alias("p")).groupBy("doc_id").agg(F.collect_list("p").alias("p"))
+    wanted = lead.join(several, "key").select("doc_id", F.struct("at", "n").alias("p")).groupBy("doc_id").agg(F.collect_list("p").alias("p"))
+    # Copies of pieces, run together where their neighbours repeat the neighbours of the same piece.
+    again = met.join(lead.where("copies > 1").select("key", "digest", F.col("doc_id").alias("d"), F.col("at").alias("a")), ["key", "digest"])
+    again = again.where((F.col("doc_id") != F.col("d")) | (F.col("at") != F.col("a"))).select("doc_id", "at", "n", "d", "a")
+    order_of = Window.partitionBy("doc_id").orderBy("at")
+    before = lambda c: F.lag(c).over(order_of)
+    goes_on = (before("d") == F.col("d")) & (before("at") + before("n") == F.col("at")) & (before("a") + before("n") == F.col("a"))
+    again = again.withColumn("opens", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("opens").over(order_of.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    claims = again.groupBy("doc_id", "run").agg(F.min("at").alias("at"), F.first("d").alias("d"), F.min("a").alias("a"), (F.sum("n") + LENGTH - 1).cast("int").alias("size"))
+    claims = scratch.keep(claims.drop("run"), "claims")
+    asked = claims.select("d", "a", "size").distinct().groupBy(F.col("d").alias("doc_id")).agg(F.collect_list(F.struct("a", "size")).alias("v"))
 
     def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = ["key", "doc_id", "at", "piece", "core", "size"], (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
         for b in batches:
             out = []
-            for doc_id, text, asked in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc_id, text, wanted, asked in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 own = _hashes(raw, ANCHOR)
-                for p in asked:
-                    out += [(core, p["digest"], doc_id, first, first - p["at"], piece) for core, first, piece in halves(raw, own, p["at"], p["n"])]
+                for p in wanted or ():
+                    out += [(key, doc_id, first, piece, core, None) for key, core, first, piece in halves(raw, own, p["at"], p["n"])]
+                out += [(None, doc_id, v["a"], hashlib.sha256(raw[v["a"] : v["a"] + v["size"]]).digest(), None, v["size"]) for v in asked or ()]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], ["key", "digest", "doc_id", "at", "shift", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    forms = scratch.keep(rows.join(wanted, "doc_id").select("doc_id", "text", "p").mapInArrow(parts_of, "key long, digest long, doc_id long, at int, shift int, piece binary"), "forms")
-    cores = scratch.keep(forms.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "cores")
+    requests = wanted.join(asked, "doc_id", "full")
+    forms = scratch.keep(rows.join(requests, "doc_id").select("doc_id", "text", "p", "v").mapInArrow(parts_of, "key long, doc_id long, at int, piece binary, core int, size int"), "forms")
+    answers = forms.where("key is null").select(F.col("doc_id").alias("d"), F.col("at").alias("a"), "size", F.col("piece").alias("sha"))
+    cores = scratch.keep(forms.where("key is not null").groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "cores")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(held: list[tuple]) -> pa.RecordBatch:
-            _, digest, doc, at, shift, piece = zip(*held, strict=True)
-            found = repeats([np.frombuffer(p, np.uint8) for p in piece], np.array(doc), np.array(at, np.int64))
-            kept = [(d, [v + s for v in x]) for d, s, x in zip(digest, shift, found, strict=True) if x]
-            return pa.RecordBatch.from_arrays([pa.array([d for d, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.list_(pa.int32()))], ["digest", "runs"])
+            _, doc, at, piece, core = zip(*held, strict=True)
+            found = repeats([np.frombuffer(p, np.uint8) for p in piece], np.array(core, np.int64), np.array(doc), np.array(at, np.int64))
+            kept = [(d, [v + k + (LENGTH - 1) * (i % 2) for i, v in enumerate(x)]) for d, k, x in zip(doc, at, found, strict=True) if x]
+            return pa.RecordBatch.from_arrays([pa.array([d for d, _ in kept], pa.int64()), pa.array([x for _, x in kept], pa.list_(pa.int32()))], ["doc_id", "marks"])
 
         held, size = [], 0
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+            for row in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 if held and size >= BATCH and row[0] != held[-1][0]:
                     yield done(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
+                size += len(row[3])
         if held:
             yield done(held)
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    cold = forms.join(cores.where(F.col("c") <= HOT).select("key"), "key").select("key", "digest", "doc_id", "at", "shift", "piece").repartition(tasks, "key").sortWithinPartitions("key")
-    runs = cold.mapInArrow(order, "digest long, runs array<int>")
-    # Hot cores: each window by itself, grouped with map-side aggregation.
-    hot = forms.join(cores.where(F.col("c") > HOT).select("key"), "key")
-    spots = hot.select("digest", "doc_id", "at", "shift", "piece", F.explode(F.expr(f"sequence(1, octet_length(piece) - {LENGTH - 1})")).alias("k"))
-    spots = spots.select("digest", F.struct("doc_id", (F.col("at") + F.col("k") - 1).alias("at")).alias("spot"), (F.col("k") + F.col("shift")).alias("k"), F.sha2(F.substring("piece", F.col("k"), F.lit(LENGTH)), 256).alias("w"))
+    cold = forms.join(cores.where(F.col("c") <= HELD).select("key"), "key").select("key", "doc_id", "at", "piece", "core").repartition(tasks, "key").sortWithinPartitions("key")
+    runs = cold.mapInArrow(order, "doc_id long, marks array<int>")
+    # Cores that no batch holds: their windows, grouped with map-side aggregation.
+    large = forms.join(cores.where(F.col("c") > HELD).select("key"), "key")
+    spots = large.select("doc_id", "at", "piece", F.explode(F.expr(f"sequence(1, octet_length(piece) - {LENGTH - 1})")).alias("k"))
+    spots = spots.select(F.struct("doc_id", (F.col("at") + F.col("k") - 1).alias("at")).alias("spot"), F.substring("piece", F.col("k"), F.lit(LENGTH)).alias("w"))
     first = spots.groupBy("w").agg(F.min("spot").alias("first"), F.count("*").alias("c")).where("c > 1")
-    again = spots.join(first, "w").where("spot <> first").groupBy("digest").agg(F.collect_list("k").alias("k"))
-    runs = runs.unionByName(again.select("digest", F.flatten(F.transform("k", lambda k: F.array(k - 1, k))).alias("runs")))
-    runs = scratch.keep(runs, "runs")
-    scratch.drop(forms)
-    scratch.drop(cores)
+    later = spots.join(first, "w").where("spot <> first").select("spot.doc_id", F.array(F.col("spot.at"), F.col("spot.at") + LENGTH).alias("marks"))
     # A piece's first place loses the windows that others have earlier; its other places lose all.
-    heads = lead.join(runs, "digest").select("doc_id", "at", "runs")
-    others = met.join(lead.where("copies > 1").select("key", "digest", F.col("doc_id").alias("d"), F.col("at").alias("a")), ["key", "digest"])
-    others = others.where(~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("at") == F.col("a")))).select("doc_id", "at", F.array(F.lit(0), F.col("n")).alias("runs"))
-    spans = F.transform("runs", lambda v, i: v + F.col("at") + F.when(i % 2 == 1, LENGTH - 1).otherwise(0))
-    marks = heads.unionByName(others).groupBy("doc_id").agg(F.flatten(F.collect_list(spans)).alias("marks"))
+    marks = runs.unionByName(later).groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    marks = scratch.keep(marks, "marks")
+    scratch.drop(cores)
+    claimed = claims.join(answers, ["d", "a", "size"], "left").groupBy("doc_id").agg(F.collect_list(F.struct("at", "size", "sha")).alias("claims"))
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
         for b in batches:
             out = []
             bounds, all_marks = b.column(2).offsets.to_numpy(), b.column(2).values.to_numpy()
-            for k, (doc_id, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            for k, (doc_id, text, claims) in enumerate(zip(*(b.column(i).to_pylist() for i in (0, 1, 3)), strict=True)):
                 raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
                 found = all_marks[bounds[k] : bounds[k + 1]]
                 gone = np.zeros(len(raw) + 1, np.int64)
                 np.add.at(gone, found[::2], 1)
                 np.add.at(gone, found[1::2], -1)
+                for claim in claims or ():
+                    at, end = claim["at"], claim["at"] + claim["size"]
+                    if hashlib.sha256(raw[at:end]).digest() != claim["sha"]:
+                        raise RuntimeError("different strings have one digest")
+                    gone[at] += 1
+                    gone[end] -= 1
                 covered = np.cumsum(gone)[:-1] > 0
                 kept = raw[~covered].tobytes()
                 spans = int((np.diff(np.concatenate([[0], covered.astype(np.int8)])) == 1).sum())
@@ -294,8 +330,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             columns = zip(*out, strict=True) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-    joined = ids.join(marks.withColumnRenamed("doc_id", "row"), "row", "left").select("doc_id", "text", F.coalesce("marks", F.array().cast("array<int>")).alias("marks"))
-    return joined.mapInArrow(strip, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    joined = ids.join(marks.join(claimed, "doc_id", "full").withColumnRenamed("doc_id", "of"), F.col("row") == F.col("of"), "left")
+    joined = joined.select("doc_id", "text", F.coalesce("marks", F.array().cast("array<int>")).alias("marks"), "claims")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    if copies is None:
+        return joined.mapInArrow(strip, schema)
+    # Rows that are met again: all that can be removed of those after the first is.
+    extra = copies.where("copies > 1").select("row", F.explode(F.expr("sequence(2L, copies)")))
+    whole = ids.join(extra, "row").select("doc_id", "text", F.when(F.octet_length("text") < LENGTH, F.array().cast("array<int>")).otherwise(F.array(F.lit(0), F.octet_length("text"))).alias("marks"), F.lit(None).cast(joined.schema["claims"].dataType).alias("claims"))
+    return joined.unionByName(whole).mapInArrow(strip, schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

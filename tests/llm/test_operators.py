@@ -131,18 +131,39 @@ def test_repeats_hot_anchor(spark, monkeypatch):
     line = "this very common line of seventy bytes is in all of these documents. "
     more = [words(rng, 30) + line + words(rng, 30) for _ in range(30)]
     more += [more[3][20:], more[7]]
-    monkeypatch.setattr(suffix_dedup, "HOT", 4)
+    monkeypatch.setattr(suffix_dedup, "HELD", 4)
     got = sorted(map(tuple, suffix_dedup.remove_repeats(table(spark, more)).drop("kept").collect()))
     assert [r[1:] for r in got] == brute_removed(more)
 
 
-def test_repeats_tied_ids(spark, nothing):
-    t = "q" * 50 + "r" * 80
-    rows = spark.createDataFrame([(1, t), (1, t), (None, t)], "doc_id long, text string")
-    assert sorted((r.n_removed for r in suffix_dedup.remove_repeats(rows).collect()), reverse=True)[:2] == [130, 130]
+def test_repeats_tied_ids(spark, nothing, texts):
+    """Rows of one id are ordered by digest, a null id comes first, and a row that is met again loses all it can."""
+    rng = random.Random(2)
+    some = [*texts[:16], *texts[:3], "q" * 50 + "r" * 80, words(rng, 40) + texts[0], None, "short", "short"]
+    ids = [None if i % 7 == 3 else i // 3 for i in range(len(some))]
+    pairs = list(zip(ids, some, strict=True)) + [(4, texts[0]), (4, texts[0]), (None, "q" * 50 + "r" * 80), (None, "q" * 50 + "r" * 80), (1, "short"), (1, "short")]
+    pairs.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256((r[1] or "").encode()).hexdigest()))
+    rng.shuffle(mixed := list(pairs))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(mixed, "doc_id long, text string")).drop("kept").collect()
+    want = [(i, *r) for (i, _), r in zip(pairs, brute_removed([t for _, t in pairs]), strict=True)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_repeats_confirm_bytes(spark, texts, monkeypatch):
+    """If a digest of pieces told different strings apart no more, the job would fail rather than remove them."""
+    real = suffix_dedup.pieces
+
+    def colliding(raw):
+        key, digest, at, n = real(raw)
+        return key * 0, digest * 0, at, n
+
+    monkeypatch.setattr(suffix_dedup, "piece_keys", lambda raw: real(raw)[0] * 0)
+    monkeypatch.setattr(suffix_dedup, "pieces", colliding)
+    with pytest.raises(Exception, match="different strings have one digest"):
+        suffix_dedup.remove_repeats(table(spark, ["ab" * 80, "cd" * 80])).collect()
+
+
 def test_suffix_order():
     rng = random.Random(1)
     for _ in range(60):
