@@ -13,8 +13,10 @@ components is lost.
 
 Defined cases: null, empty and all-space texts have an empty set and link with nothing; texts with fewer words than a
 shingle have their whole word sequence as the one shingle; repeated rows are equal sets; rows with a null doc_id get
-null component and kept true; ties go to the smaller doc_id; empty tables give empty results; extra columns are
-ignored by the queries and kept by the filter; texts are read whole, however long.
+null component and kept true; rows that share a doc_id but not a text are compared by their own texts; ties go to the
+smaller doc_id, then to the smaller digest; of a row that is met again the filter keeps one; empty tables give empty
+results; extra columns, whatever their names, are ignored by the queries and kept by the filter; texts are read whole,
+however long.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ MARGIN, FINE_MARGIN = 0.22, 0.05
 #: Passes that compare documents to others of their buckets before the last one compares all that are left, pairs of
 #: each component that such a pass estimates (those that share most buckets), and those that it confirms.
 PASSES, LOOKS, TRIES = 2, 8, 3
+#: Parts of a component's pairs that are ranked apart first.
+PARTS = 16
 WORD = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -82,28 +86,34 @@ def shingle_set(text: str | None, n: int) -> set[str]:
     return set(map(" ".join, zip(*(words[i:] for i in range(m)), strict=False))) if m > 1 else set(words) if n == 1 else {words[0]}
 
 
+def identified(doc_id: Column, text: Column) -> list[Column]:
+    """What tells rows apart: doc_id and the digest of the text."""
+    return [doc_id.cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))).alias("tid")]
+
+
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, set size, digest of the set, packed low bits and band keys of each row."""
+    """doc_id, digest of the text, set size, digest of the set, packed low bits and band keys of each row."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_shingles", "digest", "bits", "bands"]
+        names = ["doc_id", "tid", "n_shingles", "digest", "bits", "bands"]
         for b in batches:
             sizes, digests, bits, bands = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 found = np.unique(shingles(word_hashes(text), n))
                 sizes.append(len(found))
                 digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 low = minima(found)
                 bits.append(packed(low).astype(np.int64) if len(found) else None)
                 bands.append(band_keys(low).astype(np.int64) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bits array<long>, bands array<long>")
+    rows = docs.select(*identified(F.col("doc_id"), F.col("text")), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, tid binary, n_shingles long, digest binary, bits array<long>, bands array<long>")
 
 
 def fine_signatures(texts: DataFrame, n: int) -> DataFrame:
-    """doc_id and a longer packed signature."""
+    """id and a longer packed signature."""
     short_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +121,7 @@ def fine_signatures(texts: DataFrame, n: int) -> DataFrame:
             found = [packed(minima(np.unique(shingles(word_hashes(t), n)), FINE)).astype(np.int64) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["id", "fine"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "id long, fine array<long>")
+    return texts.select("id", "text").mapInArrow(run, "id long, fine array<long>")
 
 
 def estimate(a: Column, b: Column, count: int = MINIMA) -> Column:
@@ -124,8 +134,8 @@ def estimate(a: Column, b: Column, count: int = MINIMA) -> Column:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose full sets meet the threshold."""
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    one = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    other = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
     short_batches(pairs.sparkSession)
 
@@ -143,15 +153,24 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
     return joined.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs."""
+def _first_of(df: DataFrame, key: str, by: str, most: int) -> DataFrame:
+    """Each key's pairs (a, b) of highest by, at most so many: first in each of its parts, so that a hot key is spread over tasks."""
+    df = df.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(PARTS)))
+    for place in ([key, "part"], [key]):
+        best = Window.partitionBy(*place).orderBy(F.desc(by), "a", "b")
+        df = df.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most)
+    return df.drop("part", "r")
+
+
+def classified(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, tid (digest of the text), n_shingles and rep, the least (doc_id, tid) of its component, for each row of docs; rep is null without a set or doc_id."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
     signed = scratch.keep(signatures(docs, n), "signatures")
     filled = signed.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    # One document for each different set.
-    classes = filled.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
-    classes = scratch.keep(classes, "classes")
+    # One row for each different set, numbered as it is written.
+    classes = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "tid")).alias("row"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     bands = classes.select("id", F.explode("bands").alias("key"))
     leads = bands.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("members")).where("members > 1")
     bands = scratch.keep(bands.join(leads, "key").select("id", "key", "lead"), "bands")
@@ -172,9 +191,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     first = first.groupBy("a").agg(F.min("lead").alias("least"), F.max_by("lead", F.struct("shared", -F.col("lead"))).alias("likeliest"))
     first = likely(first.select("a", F.explode(F.array_distinct(F.array("least", "likeliest"))).alias("b"))).select("a", "b")
     first = scratch.keep(first, "first", few=True)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    wanted = bands.select(F.col("id").alias("doc_id")).distinct()
-    texts = scratch.keep(texts.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    wanted = classes.select("id", "row.doc_id", "row.tid").join(bands.select("id").distinct(), "id", "left_semi")
+    texts = docs.select(*identified(F.col("doc_id"), F.col("text")), F.col("text").cast("string"))
+    texts = scratch.keep(texts.join(wanted, ["doc_id", "tid"]).groupBy("id").agg(F.first("text").alias("text")), "texts")
     linked = scratch.keep(_confirmed(first, texts, n, percent), "linked", few=True)
     joined = scratch.keep(components(linked, scratch), "components", few=True)
     for salt in range(PASSES):
@@ -183,16 +202,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         drawn = placed.groupBy("key").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "key", F.lit(salt))).alias("d"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         pairs = placed.join(drawn, "key").where("component <> d.component").select(F.greatest("id", "d.id").alias("a"), F.least("id", "d.id").alias("b"), "component")
         pairs = pairs.groupBy("a", "b", "component").agg(F.count("*").alias("shared"))
-        most, best = (Window.partitionBy("component").orderBy(F.desc(c), "a", "b") for c in ("shared", "like"))
-        pairs = pairs.withColumn("r", F.row_number().over(most)).where(F.col("r") <= LOOKS).select("a", "b", "component")
-        tried = likely(pairs, "component").withColumn("r", F.row_number().over(best)).where(F.col("r") <= TRIES).select("a", "b").distinct()
+        pairs = _first_of(pairs, "component", "shared", LOOKS).select("a", "b", "component")
+        tried = _first_of(likely(pairs, "component"), "component", "like", TRIES).select("a", "b").distinct()
         linked = scratch.keep(linked.unionByName(_confirmed(tried, texts, n, percent)), "linked", few=True)
         joined = scratch.keep(components(linked, scratch), "components", few=True)
     # Last pass: all that share a bucket but not a component, each pair in the first bucket that they share.
     placed = bands.join(joined, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
     placed_kept = placed = scratch.keep(placed.join(mixed, "key"), "mixed")
-    fine = scratch.keep(fine_signatures(texts.join(placed.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), n), "fine")
+    fine = scratch.keep(fine_signatures(texts.join(placed.select("id").distinct(), "id", "left_semi"), n), "fine")
     placed = placed.join(classes.select("id", "n", "bands").join(fine, "id"), "id").withColumn("place", F.array_position("bands", F.col("key")).cast("int"))
     one, other = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "fine", "bands", "place")]) for x in "ab")
     first_shared = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True)
@@ -202,16 +220,30 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     final = components(linked, scratch)
     for used in (bands, first, texts, placed_kept, fine):
         scratch.drop(used)
-    ids = classes.select("digest", "id").join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("found"))
-    rows = signed.select("doc_id", "n_shingles", "digest").join(ids, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    found = classes.select("digest", "id", "row").join(final, "id", "left").withColumn("found", F.coalesce("component", "id"))
+    ids = found.join(found.groupBy("found").agg(F.min("row").alias("rep")), "found").select("digest", "rep")
+    rows = signed.select("doc_id", "tid", "n_shingles", "digest").join(ids, "digest", "left")
+    return rows.select("doc_id", "tid", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs."""
+    component = F.coalesce("rep.doc_id", "doc_id")
+    return classified(docs, n, percent).select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, unchanged, without those that another document of their component stands for."""
-    gone = near_duplicates(docs, n, percent).where("not kept").select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone_id"), "left_anti")
+    """The rows of docs, unchanged, without those that another row of their component stands for."""
+    key = ["doc_id", "tid"]
+    rows = classified(docs, n, percent).where("rep is not null").groupBy(*key).agg(F.count("*").alias("copies"), F.first("rep").alias("rep"))
+    rows = Scratch(docs.sparkSession, "near-dedup").keep(rows.select(*key, "copies", (F.struct(*key) == F.col("rep")).alias("stands")), "standing", few=True)
+    # Columns of docs stay in one struct, clear of the names used here.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = whole.select("row", *identified(F.col("row.doc_id"), F.col("row.text"))).join(rows.where("not stands").select(*key), key, "left_anti")
+    again = rows.where("stands and copies > 1").select(*key)
+    if not again.isEmpty():
+        whole = whole.join(again, key, "left_anti").select("row").unionByName(whole.join(again, key, "left_semi").dropDuplicates(key).select("row"))
+    return whole.select("row.*")
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

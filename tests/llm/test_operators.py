@@ -75,6 +75,19 @@ def test_keep_one_keeps_columns(docs, texts):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, (_, c) in brute_components(texts, 2).items() if c == i}
 
 
+def test_near_duplicates_repeated_ids(spark, texts):
+    """Rows that share a doc_id are compared by their own texts, and a row that is met again stays once."""
+    rng = random.Random(8)
+    a, b = words(rng, 60, 500), words(rng, 60, 500)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, words(rng, 50, 500)), (4, "alone in here"), (4, "alone in here"), (5, None), (5, None), (None, a)]
+    rows = [(i, t, "k") for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __gone_id string")
+    assert {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 5), (None, None)}
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([r for i, r in enumerate(rows) if i not in (2, 3, 6)])
+
+
 def test_near_duplicates_null_ids_and_empty(spark, nothing):
     assert near_dedup.near_duplicates(nothing).count() == 0
     rows = spark.createDataFrame([(None, "a b c"), (1, "a b c"), (1, "a b c")], "doc_id long, text string")
