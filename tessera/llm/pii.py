@@ -9,24 +9,29 @@ from those of their gender and script.
 A surrogate is a keyed permutation g'(s(g(x))) of the entity's canonical form, where g is a Feistel network over the
 character classes, g' its inverse and s moves every character by one. Being a permutation it keeps distinct entities
 distinct and the same entity the same wherever it occurs, with no table of entities to share; moving every character
-between g and g' means that no entity is its own surrogate. collisions() checks that over a corpus, and the query
-over each document.
+between g and g' means that no entity is its own surrogate. Where strings of one format are dealt to two permutations
+(listed given names and other names, hexadecimal secrets and others), the second is walked on until it leaves the
+first one's strings, so that their images never meet. collisions() checks that over a corpus, and the query over each
+document. The words of a name are looked for in the rest of its document, also in capitals, and get the same surrogates.
 
 Defined cases: null texts stay null and have no entity; empty and clean texts are unchanged; repeated rows and
 repeated entities get equal surrogates; overlapping entities go to the leftmost, then to the earlier kind in KINDS;
-an empty table gives an empty result; other columns are kept; texts are read whole, however long.
+an empty table gives an empty result; other columns are kept, whatever their names; texts are read whole, however long.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents
 
-KEY = "tessera-demo-key"
+#: The session's setting that holds the key, and the key of runs that set none, which is public and hides nothing.
+KEY_SETTING, EXAMPLE_KEY = "spark.tessera.pii.key", "example"
 
 # Honorifics and given names by gender and script.
 HONORIFICS = {
@@ -67,6 +72,12 @@ DIGITS, HEX = ("0123456789",), ("0123456789abcdef",)
 PLAIN = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 SPOKEN = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "аеиоуыэюя", "бвгджзклмнпрстфхцчш", "αεηιουω", "βγδζθκλμνξπρστφχψ")
 HALF_ROUNDS = 4
+#: Steps in which a walk leaves any run of hexadecimal strings of eight characters or more.
+WALK = 100
+
+
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, EXAMPLE_KEY)
 
 
 def _chars(x: Column) -> Column:
@@ -111,6 +122,12 @@ def permuted(x: Column, classes: tuple[str, ...], key: str, tweak: str) -> Colum
     return F.concat(end["a"], end["b"])
 
 
+def walked(x: Column, step: Callable[[Column], Column], barred: Callable[[Column], Column], most: int) -> Column:
+    """x after one step of a permutation, and on while that is barred: a permutation of what isn't barred, as a walk comes back to x at last."""
+    go = lambda at, i: F.when((i == 0) | barred(at), step(at)).otherwise(at)
+    return F.aggregate(F.sequence(F.lit(0), F.lit(most)), x, go)
+
+
 def _recased(x: Column, like: Column) -> Column:
     """x with capitals where like has them."""
     return _join(F.zip_with(_chars(x), _chars(like), lambda c, o: F.when((F.upper(o) == o) & (F.lower(o) != o), F.upper(c)).otherwise(c)))
@@ -164,7 +181,9 @@ def _ip(m: Column, key: str) -> Column:
 def _secret(m: Column, key: str) -> Column:
     head = F.regexp_extract(m, rf"^({_SECRET})", 1)
     value = F.substring(m, F.length(head) + 1, F.length(m))
-    return F.concat(head, F.when(value.rlike("^[0-9a-f]+$"), permuted(value, HEX, key, "secret")).otherwise(permuted(value, PLAIN, key, "secret")))
+    is_hex = lambda x: x.rlike("^[0-9a-f]+$")
+    other = walked(value, lambda x: permuted(x, PLAIN, key, "secret"), is_hex, WALK)
+    return F.concat(head, F.when(is_hex(value), permuted(value, HEX, key, "secret")).otherwise(other))
 
 
 def _given_names(key: str) -> dict[str, str]:
@@ -176,12 +195,31 @@ def _given_names(key: str) -> dict[str, str]:
     return out
 
 
+def _shape(name: str) -> tuple:
+    """What a permutation of SPOKEN keeps: the class of each character."""
+    return tuple(next((i for i, letters in enumerate(SPOKEN) if c in letters), c) for c in name.lower())
+
+
+#: Listed given names of one shape: a walk among them is no longer.
+_ALIKE = max(Counter(_shape(n) for ns in GIVEN.values() for n in ns).values())
+
+
 def _name(m: Column, key: str) -> Column:
+    """Each word of a name, as one or in capitals; given names stay given names and others others."""
     head = F.regexp_extract(m, rf"^((?:{_TITLES})\.? )", 1)
-    known = F.create_map(*[F.lit(x) for pair in _given_names(key).items() for x in pair])
+    known = F.create_map(*[F.lit(x.lower()) for pair in _given_names(key).items() for x in pair])
     words = F.split(F.substring(m, F.length(head) + 1, F.length(m)), " ")
-    other = lambda w: _recased(permuted(F.lower(w), SPOKEN, key, "name"), w)
-    return F.concat(head, F.array_join(F.transform(words, lambda w: F.coalesce(F.element_at(known, w), other(w))), " "))
+    other = lambda low: walked(low, lambda x: permuted(x, SPOKEN, key, "name"), lambda x: F.map_contains_key(known, x), _ALIKE)
+    cased = lambda new, w: F.when(F.upper(w) == w, F.upper(new)).otherwise(F.concat(F.upper(F.substring(new, 1, 1)), F.substring(new, F.lit(2), F.length(new))))
+    one = lambda w: F.when(F.map_contains_key(known, F.lower(w)), cased(F.element_at(known, F.lower(w)), w)).otherwise(_recased(other(F.lower(w)), w))
+    return F.concat(head, F.array_join(F.transform(words, one), " "))
+
+
+def name_words(entities: Column) -> Column:
+    """The different words of the names among entities, without honorifics, as they are and in capitals."""
+    names = F.filter(entities, lambda m: kind_of(m) == "name")
+    words = F.flatten(F.transform(names, lambda m: F.split(F.regexp_replace(m, rf"^(?:{_TITLES})\.? ", ""), " ")))
+    return F.array_distinct(F.concat(words, F.transform(words, F.upper)))
 
 
 def kind_of(m: Column) -> Column:
@@ -205,39 +243,49 @@ def surrogate(m: Column, key: str) -> Column:
     return out
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """docs with the entities of text replaced, and with columns __entities and __surrogates for callers to use and drop."""
-    text = F.col("text").cast("string")
-    found = docs.withColumn("__entities", F.when(text.rlike(MAY_HAVE), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    found = found.withColumn("__surrogates", F.transform("__entities", lambda m: surrogate(m, key)))
-    pieces = F.zip_with(F.split(text, ENTITY, -1), F.col("__surrogates"), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
-    return found.withColumn("text", F.when(F.size("__entities") > 0, _join(pieces)).otherwise(text))
+def found_entities(docs: DataFrame, key: str) -> DataFrame:
+    """The rows of docs as struct row, with the entities of text, their surrogates, and text with these in their place."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    whole = whole.withColumn("text", F.col("row.text").cast("string"))
+    none = F.array().cast("array<string>")
+    first = F.when(F.col("text").rlike(MAY_HAVE), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).otherwise(none)
+    whole = whole.withColumn("words", _once(first, name_words))
+    # Where a document has names, their words are entities too, wherever else they are.
+    pattern = F.when(F.size("words") > 0, F.concat(F.lit(ENTITY + r"|(?<!\p{L})(?:"), F.array_join("words", "|"), F.lit(r")(?!\p{L})"))).otherwise(F.lit(ENTITY))
+    whole = whole.withColumn("pattern", pattern)
+    whole = whole.withColumn("entities", F.when(F.size("words") > 0, F.regexp_extract_all("text", "pattern", F.lit(0))).otherwise(first))
+    whole = whole.withColumn("surrogates", F.transform("entities", lambda m: surrogate(m, key)))
+    pieces = F.zip_with(F.split("text", F.col("pattern"), -1), F.col("surrogates"), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
+    return whole.select("row", F.coalesce("entities", none).alias("entities"), F.coalesce("surrogates", none).alias("surrogates"), F.when(F.size("entities") > 0, _join(pieces)).otherwise(F.col("text")).alias("text"))
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x with x computed once, however often f reads it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def without_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
+def without_pii(docs: DataFrame, key: str) -> DataFrame:
     """docs with surrogates in text, and n_chars set anew where docs has it."""
-    out = replace_entities(docs, key).drop("__entities", "__surrogates")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    of = lambda c: new[c].cast(docs.schema[c].dataType) if c in new else F.col(f"row.`{c}`")
+    return found_entities(docs, key).select(*[of(c).alias(c) for c in docs.columns])
 
 
-def entities(docs: DataFrame, key: str = KEY) -> DataFrame:
+def entities(docs: DataFrame, key: str) -> DataFrame:
     """Distinct (kind, entity, surrogate) over all of docs."""
-    pairs = replace_entities(docs.select("text"), key).select(F.explode(F.arrays_zip("__entities", "__surrogates")).alias("x"))
-    pairs = pairs.select(F.col("x.__entities").alias("entity"), F.col("x.__surrogates").alias("surrogate")).distinct()
+    pairs = found_entities(docs.select("text"), key).select(F.explode(F.arrays_zip("entities", "surrogates")).alias("x"))
+    pairs = pairs.select(F.col("x.entities").alias("entity"), F.col("x.surrogates").alias("surrogate")).distinct()
     return pairs.select(kind_of(F.col("entity")).alias("kind"), "entity", "surrogate")
 
 
-def collisions(docs: DataFrame, key: str = KEY) -> DataFrame:
+def collisions(docs: DataFrame, key: str) -> DataFrame:
     """Surrogates that stand for several entities, or that are their own entity; there should be none."""
     found = entities(docs, key)
     return found.groupBy("surrogate").agg(F.count_distinct("entity").alias("n"), F.max((F.col("entity") == F.col("surrogate")).cast("int")).alias("same")).where("n > 1 or same = 1")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = replace_entities(documents(spark, sf_dir).select("doc_id", "text"))
+    out = found_entities(documents(spark, sf_dir).select("doc_id", "text"), session_key(spark))
     distinct = lambda c: F.size(F.array_distinct(c))
-    kinds = F.array_sort(F.array_distinct(F.transform("__entities", kind_of)))
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("__entities"))
-    return out.select("doc_id", "text", n.cast("long").alias("n_entities"), F.coalesce(kinds, F.array().cast("array<string>")).alias("kinds"), F.coalesce(distinct("__entities") - distinct("__surrogates"), F.lit(0)).alias("n_collisions"))
+    kinds = F.array_sort(F.array_distinct(F.transform("entities", kind_of)))
+    return out.select("row.doc_id", "text", F.size("entities").cast("long").alias("n_entities"), kinds.alias("kinds"), (distinct("entities") - distinct("surrogates")).alias("n_collisions"))
