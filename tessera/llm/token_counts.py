@@ -4,8 +4,9 @@ Each text is identified by the SHA-256 digest of its normalised content (null re
 else may be normalised away, as the tokenizer sees every byte) and the digest of the tokenizer's file. Counts that
 the cache holds are joined; each distinct missing content is encoded once and its count appended to the cache.
 
-Defined cases: null and empty texts have 0 tokens; repeated rows are encoded once and all returned; an empty table
-gives an empty result; extra columns are ignored; very long texts are encoded whole.
+Defined cases: null and empty texts have 0 tokens; repeated rows are encoded once and all returned; a digest that was
+appended twice (by two jobs at once, or one that was run again) counts once; an empty table gives an empty result;
+extra columns are ignored; very long texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -46,7 +47,7 @@ def version_of(path: str) -> str:
 
 def with_digest(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
 
 
 def encode_misses(docs: DataFrame, cache: str, tokenizer: str) -> None:
@@ -77,7 +78,7 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame | None:
 def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether n_tokens is over the limit, for each row of docs."""
     encode_misses(docs, cache, tokenizer)
-    stored = read_cache(docs.sparkSession, cache).where(F.col("version") == version_of(tokenizer)).select("digest", "n_tokens")
+    stored = read_cache(docs.sparkSession, cache).where(F.col("version") == version_of(tokenizer)).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     rows = with_digest(docs).select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     return rows.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
