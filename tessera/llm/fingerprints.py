@@ -18,13 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, shingles, short_batches, word_hashes
 
 K = 128
 WORDS = 5
+#: Fine ranges measured for each range of documents that a task gets.
+FINE = 8
 
 
 def sketch(text: str | None, k: int = K, n: int = WORDS) -> np.ndarray:
@@ -89,6 +91,54 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def ranges_of(rows: DataFrame, parts: int) -> tuple[Column, int]:
+    """Which of about so many ranges of (doc_id, digest), in order and of like bytes, a row is in, and how many there are.
+
+    Quantiles of doc_id make fine ranges, whose sizes in bytes are collected (FINE a range of the result); neighbours are
+    joined up to a range's share, and a range that one doc_id fills alone is cut by its digests.
+    """
+    steps = FINE * parts
+    cuts = rows.select(F.percentile_approx("doc_id", [i / steps for i in range(1, steps)], 4 * steps)).first()[0] or []
+    fine = _place(sorted(set(cuts)))
+    rows = rows.groupBy(fine.alias("fine")).agg(F.sum(F.octet_length("text") + 64).alias("size"), (F.count("*") > 1).alias("many"), (F.min("doc_id").eqNullSafe(F.max("doc_id"))).alias("alone"))
+    found = sorted(map(tuple, rows.collect()))
+    share = max(1, -(-sum(size for _, size, _, _ in found) // parts))
+    # For each fine range: its first part, and the parts that its digests are dealt to.
+    first, cut, n, held = {}, {}, 0, 0
+    for place, size, many, alone in found:
+        if held and held + size > share:
+            n, held = n + 1, 0
+        first[place] = n
+        if many and alone and size > share:
+            cut[place] = -(-size // share)
+            n += cut[place]
+        else:
+            held += size
+    total = n + bool(held)
+    at = lambda values, default: F.get(_longs([values.get(i, default) for i in range(len(cuts) + 2)]), fine)
+    digits = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
+    return (at(first, 0) + F.shiftright(digits * at(cut, 1), 32)).cast("int"), total
+
+
+def _longs(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
+def _place(cuts: list[int]) -> Column:
+    """0 for a null doc_id, else 1 and the number of cuts under it, found by halving."""
+    if not cuts:
+        return F.when(F.col("doc_id").isNull(), 0).otherwise(1)
+
+    def halve(span: Column, _: Column) -> Column:
+        middle = F.shiftright(span["lo"] + span["hi"], 1)
+        over = F.get(_longs(cuts), middle) < F.col("doc_id")
+        open_ = span["lo"] < span["hi"]
+        return F.struct(F.when(open_ & over, middle + 1).otherwise(span["lo"]).alias("lo"), F.when(open_ & ~over, middle).otherwise(span["hi"]).alias("hi"))
+
+    span = F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+    return F.when(F.col("doc_id").isNull(), 0).otherwise(1 + F.aggregate(F.sequence(F.lit(1), F.lit(len(cuts).bit_length())), span, halve)["lo"])
+
+
 def compare_with_next(docs: DataFrame, k: int = K, n: int = WORDS) -> DataFrame:
     """Fingerprints of each document and of its edited text, and how alike it is to that and to the next document.
 
@@ -96,20 +146,17 @@ def compare_with_next(docs: DataFrame, k: int = K, n: int = WORDS) -> DataFrame:
     one, so that every task reads its part once, in order, holding two documents.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    cuts = rows.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    own = F.when(F.col("doc_id").isNull(), 0).otherwise(_range_of(cuts))
-    rows = rows.withColumn("part", own.cast("int"))
-    firsts = rows.groupBy("part").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("f")).collect()  # a row a range
-    order = sorted((r["part"], r["f"]["id"]) for r in firsts)
-    after = {part: order[i - 1][0] for i, (part, _) in enumerate(order)}
-    ends = spark.createDataFrame([(part, first, after[part]) for part, first in order], "part int, first long, before int")
-    edge = rows.join(F.broadcast(ends), "part").where(F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("first"))
-    edge = edge.select("doc_id", "text", F.col("before").alias("part"), F.lit(1).alias("guest"))
-    dealt = rows.select("doc_id", "text", "part", F.lit(0).alias("guest")).unionByName(edge)
-    dealt = dealt.withColumn("digest", F.md5(F.col("text").cast("binary"))).repartition(ranges, "part").sortWithinPartitions("part", "guest", F.asc_nulls_first("doc_id"), "digest")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.md5(text.cast("binary")).alias("digest"))
+    place, total = ranges_of(rows, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
+    rows = rows.withColumn("part", place)
+    least = F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "digest")).alias("f")
+    order = sorted((r["part"], r["f"]["doc_id"], r["f"]["digest"]) for r in rows.groupBy("part").agg(least).collect())  # a row a range
+    ends = spark.createDataFrame([(*r, order[i - 1][0]) for i, r in enumerate(order)], "part int, first_id long, first_digest string, before int")
+    edge = rows.join(F.broadcast(ends), "part").where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("digest") == F.col("first_digest")))
+    edge = edge.select("doc_id", "text", F.col("before").alias("part"), "digest", F.lit(1).alias("guest"))
+    dealt = rows.select("doc_id", "text", "part", "digest", F.lit(0).alias("guest")).unionByName(edge)
+    dealt = dealt.repartitionById(max(total, 1), F.col("part")).sortWithinPartitions("part", "guest", F.asc_nulls_first("doc_id"), "digest").select("doc_id", "text", "part", "guest")
     short_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,17 +184,5 @@ def compare_with_next(docs: DataFrame, k: int = K, n: int = WORDS) -> DataFrame:
 KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
-def _range_of(cuts: list[int]):
-    """Which range an id is in: by halving the sorted cuts, as a tree of comparisons."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") <= cuts[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(cuts))
-
-
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(documents(spark, sf_dir))

@@ -201,6 +201,11 @@ def test_compare_with_next(docs, texts):
         assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(changed.encode()).hexdigest())
         assert got[i].fingerprint == fingerprints.encode(fingerprints.sketch(t))
         assert got[i].edited_fingerprint == fingerprints.encode(fingerprints.sketch(changed))
+        # Likeness by full sets: exact where a sketch holds the union, else an estimate.
+        own, theirs, following = (near_dedup.shingle_set(x, 5) for x in (t, changed, whole[(i + 1) % len(whole)]))
+        for near, other in ((got[i].near_edited, theirs), (got[i].near_next, following)):
+            exact = len(own & other) / len(own | other) if own | other else 1.0
+            assert near == pytest.approx(exact, abs=1e-12 if len(own | other) <= fingerprints.K else 0.2)
 
 
 def test_sketch_estimates():
@@ -222,6 +227,19 @@ def test_fingerprint_cases(spark, nothing):
     assert fingerprints.compare_with_next(ids).count() == 3
 
 
+def test_next_of_repeated_ids(spark):
+    """Rows of one doc_id are dealt to several tasks, in the order of their digests."""
+    rng = random.Random(6)
+    rows = [(None if i % 3 else i // 9, words(rng, 5 + i % 40)) for i in range(240)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest()))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    place, total = fingerprints.ranges_of(df.withColumn("digest", F.md5("text")), 4)
+    dealt = Counter(r.p for r in df.withColumn("digest", F.md5("text")).where("doc_id is null").select(place.alias("p")).collect())
+    assert len(dealt) > 1 and max(dealt) < total <= 8
+    got = Counter((r.doc_id, r.edited_sha256) for r in fingerprints.compare_with_next(df).collect())
+    assert got == Counter((i, hashlib.sha256(fingerprints.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order))
+
+
 # --- token counts ------------------------------------------------------------------------------------------------
 
 
@@ -237,6 +255,11 @@ def test_token_counts_and_cache(spark, docs, texts, nothing):
         token_counts.count_tokens(table(spark, ["new", *texts]), path, cache)
         assert token_counts.read_cache(spark, cache).count() == len({t or "" for t in texts}) + 1
         assert token_counts.count_tokens(nothing, path, cache).count() == 0
+        # A filled cache, and one that two jobs have appended to at once.
+        token_counts.read_cache(spark, cache).write.parquet(more := Scratch(spark, "t").path("more"))
+        spark.read.parquet(more).write.mode("append").parquet(cache)
+        again = token_counts.count_tokens(docs, path, cache).collect()
+        assert len(again) == len(texts) and {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in again} == got
 
 
 # --- mixing ------------------------------------------------------------------------------------------------------
