@@ -2,7 +2,10 @@
 
 Trusted positives and unlabelled texts, with an estimated class prior, fit a linear model on surface features by
 minimising the non-negative unbiased risk: where the estimated risk on negatives falls below zero, the step goes
-against it instead. Features are frequencies of character classes and of their pairs, and ratios of repetition.
+against it instead. The class prior is estimated from the same two samples, never from negatives: a classifier of
+positives against unlabelled texts is fitted on one half, and the prior is the least ratio, over thresholds of its
+score, of the share of the other half's unlabelled texts above to that of its positives, where both are sure enough.
+Features are frequencies of character classes and of their pairs, and ratios of repetition.
 
 Defined cases: null reads as the empty text, which is scored like any other; repeated rows are scored alike; an empty
 table gives an empty result; without a positive training row all scores are the prior's (0.5); extra columns are
@@ -68,8 +71,8 @@ def features(text: str | None) -> np.ndarray:
     return out
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 60, rate: float = 0.02, damp: float = 1e-4) -> np.ndarray:
-    """Weights of a linear model (constant last) of least non-negative risk under the logistic loss."""
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, epochs: int = 60, rate: float = 0.02, damp: float = 1e-4) -> np.ndarray:
+    """Weights of a linear model (constant last) of least non-negative risk under the logistic loss; without a prior, of positives against unlabelled."""
     random = np.random.default_rng(7)
     w, m, v, t = np.zeros(positive.shape[1] + 1), 0.0, 0.0, 0
     p, u = (np.concatenate([x, np.ones((len(x), 1), x.dtype)], 1) for x in (positive, unlabelled))
@@ -83,9 +86,12 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
             za, zb = a @ w, b @ w
             # Means of the loss's gradient: of positives as positive and as negative, and of unlabelled as negative.
             as_positive, as_negative, rest = -(a.T @ sigmoid(-za)) / batch, (a.T @ sigmoid(za)) / batch, (b.T @ sigmoid(zb)) / batch
-            risk = np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
-            negative = rest - prior * as_negative
-            grad = (prior * as_positive + negative if risk >= 0 else -negative) + damp * w
+            if prior is None:
+                grad = as_positive + rest + damp * w
+            else:
+                risk = np.logaddexp(0, zb).mean() - prior * np.logaddexp(0, za).mean()
+                negative = rest - prior * as_negative
+                grad = (prior * as_positive + negative if risk >= 0 else -negative) + damp * w
             t += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             w = w - rate * (0.5 ** (epoch * 3 / epochs)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -94,16 +100,22 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs:
     return mean / max(1, steps * (epochs - epochs * 2 // 3))
 
 
-def estimate_prior(marks: DataFrame) -> float:
-    """The share of positives among trusted rows (doc_id, quality), kept off 0 and 1."""
-    n, good = marks.agg(F.count("quality"), F.coalesce(F.sum((F.col("quality") == 1).cast("int")), F.lit(0))).first()
-    return min(0.99, max(0.01, (good + 1) / (n + 2)))
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, doubt: float = 0.1) -> float:
+    """The share of positives among unlabelled, from both samples alone, kept off 0 and 1."""
+    w = fit_nnpu(positive[::2], unlabelled[::2], None, epochs=20)
+    p, u = (np.sort(x[1::2] @ w[:-1]) for x in (positive, unlabelled))
+    if not len(p) or not len(u):
+        return 0.5
+    above = lambda x: 1 - np.searchsorted(x, p, "left") / len(x)
+    ours, theirs = above(p), above(u)
+    slack = sum(np.sqrt(np.log(4 / doubt) / (2 * len(x))) for x in (p, u))
+    best = int(np.argmin((theirs + slack) / ours))
+    return float(min(0.99, max(0.01, theirs[best] / ours[best])))
 
 
 def fit(docs: DataFrame, marks: DataFrame) -> dict:
     """Fit on trusted positives of marks (doc_id, quality) and unlabelled docs; nothing of the samples reaches the driver."""
     marks = marks.select(F.col("doc_id").cast("long"), "quality").where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    prior = estimate_prior(marks)
     good = marks.where("quality = 1")
     good = bounded(good, F.col("doc_id"), FIT_POSITIVE, good.count()).select("doc_id", F.lit(1).alias("trusted"))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -122,8 +134,10 @@ def fit(docs: DataFrame, marks: DataFrame) -> dict:
         y = np.array([y for y, _ in kept], bool)
         if y.any() and not y.all():
             centre, scale = x[~y].mean(0), x[~y].std(0) + 1e-3
-            w = fit_nnpu((x[y] - centre) / scale, (x[~y] - centre) / scale, prior)
-            model = {"w": (w[:-1] / scale).tolist(), "c": float(w[-1] - (w[:-1] * centre / scale).sum())}
+            good, rest = (x[y] - centre) / scale, (x[~y] - centre) / scale
+            prior = estimate_prior(good, rest)
+            w = fit_nnpu(good, rest, prior)
+            model = {"w": (w[:-1] / scale).tolist(), "c": float(w[-1] - (w[:-1] * centre / scale).sum()), "prior": prior}
             yield pa.RecordBatch.from_arrays([pa.array([json.dumps(model)])], ["model"])
 
     found = rows.mapInArrow(measure, "x binary, trusted int").repartition(1).mapInArrow(train, "model string").collect()
