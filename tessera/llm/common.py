@@ -80,12 +80,14 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
+def sampled(key: Column, share: Column) -> Column:
+    """Whether a row is in a sample of about that share of all rows, the same ones each time: those whose keyed hash is small."""
+    return F.pmod(F.xxhash64(key.cast("string"), F.lit("sample")), F.lit(1 << 32)) < (share * (1 << 32)).cast("long")
+
+
 def bounded(df: DataFrame, key: Column, at_most: int, total: int) -> DataFrame:
-    """About at_most of total rows, the same ones each time: those whose keyed hash is small."""
-    if total <= at_most:
-        return df
-    cut = int(at_most / total * (1 << 32))
-    return df.where(F.pmod(F.xxhash64(key.cast("string"), F.lit("sample")), F.lit(1 << 32)) < F.lit(cut))
+    """About at_most of total rows."""
+    return df if total <= at_most else df.where(sampled(key, F.lit(at_most / total)))
 
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:

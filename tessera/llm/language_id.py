@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded, crc_bucket, documents, short_batches
+from tessera.llm.common import crc_bucket, documents, sampled, short_batches
 
 #: N-grams in a profile, and of a text that are compared.
 PROFILE = 400
-#: Profiles are fitted on about so many training rows at most (the documented bound of the fitting sample).
-FIT_ROWS = 20_000
+#: A profile is fitted on about so many training rows of its language at most (the documented bound of the fitting sample).
+FIT_ROWS = 5_000
 UNKNOWN = "und"
 _STEP = 1 << 18  # characters counted at a time
 
@@ -67,7 +67,11 @@ def fit_profiles(train: DataFrame, profile: int = PROFILE, at_most: int = FIT_RO
     """Each language's most frequent n-grams over rows (doc_id, text, lang), counted over all rows of the sample."""
     spark = train.sparkSession
     train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    train = bounded(train, F.col("doc_id"), at_most, train.count()).select("lang", "text")
+    counts = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # a row a language
+    if not counts:
+        return {}
+    many = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, at_most / n))])
+    train = train.where(sampled(F.col("doc_id"), F.element_at(many, F.col("lang")))).select("lang", "text")
     short_batches(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

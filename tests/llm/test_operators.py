@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import pathlib
 import random
 import re
 from collections import Counter
@@ -363,6 +364,78 @@ def test_nnpu_separates():
     assert f(good) > 0.9 and f(bad) < 0.15
 
 
+def test_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(1)
+    for share in (0.2, 0.6, 0.9):
+        n = int(2000 * share)
+        good, rest = rng.normal(1.5, 1, (3000, 4)).astype(np.float32), rng.normal(-1.5, 1, (2000 - n, 4)).astype(np.float32)
+        assert abs(quality.estimate_prior(good[:1000], rng.permutation(np.concatenate([good[1000 : 1000 + n], rest]))) - share) < 0.08
+
+
+def test_rare_language_has_a_profile(spark):
+    """Languages are sampled apart, so one of few rows keeps them all."""
+    rows = [(i, "abc cab bca " * 5, "xx") for i in range(400)] + [(1000, "vwx xwv", "yy"), (1001, "wxv vvw", "yy"), (None, "none", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language_id.fit_profiles(df, at_most=10)
+    assert set(profiles) == {"xx", "yy"}
+    assert {r.lang_pred for r in language_id.identify(df.where("doc_id >= 1000"), profiles).collect()} == {"yy"}
+
+
+def plain_distance(text, profile, size):
+    """Out-of-place distance by counting n-grams one at a time."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    padded = f" {' '.join(letters.split())} "
+    grams = Counter(padded[i : i + n] for n in (1, 2, 3) for i in range(len(padded) - n + 1))
+    del grams[" "]
+    code = lambda g: sum(ord(c) << 21 * i for i, c in enumerate(reversed(g)))
+    top = sorted(grams, key=lambda g: (-grams[g], code(g)))[:size]
+    place = {g: i for i, g in enumerate(profile)}
+    return sum(abs(place[code(g)] - i) if code(g) in place else size for i, g in enumerate(top)) / (size * len(top))
+
+
+def test_language_against_plain_distances(spark):
+    """Predictions and scores of whole texts, long, repeated and tied ones and clashing columns among them."""
+    rng = random.Random(12)
+    make = {"xx": "abcdeé", "yy": "vwxyaя", "zz": "vwxyaя"}
+    write = lambda g, n: " ".join("".join(rng.choice(make[g]) for _ in range(rng.randrange(1, 7))) for _ in range(n))
+    train = [(i, write(g, 30), g) for i, g in enumerate(["xx", "yy"] * 40)]
+    train += [(1000 + i, t, "zz") for i, t, g in train if g == "yy"]  # ties with yy: the first by code point wins
+    profiles = language_id.fit_profiles(spark.createDataFrame(train, "doc_id long, text string, lang string"), profile=60)
+    model = language_id.Profiles(profiles, 60)
+    for text in [write("xx", 5), write("yy", 5), "Ab, VW! " * 9000, write("xx", 20000), "É", write("xx", 3) + write("yy", 3)]:
+        apart = {g: plain_distance(text, profiles[g].tolist(), 60) for g in profiles}
+        best = min(sorted(apart), key=apart.get)
+        assert model.predict(text) == (best, pytest.approx(1 - apart[best]))
+
+
+SUPPLIED = pathlib.Path("/root/testdata/sf0.01")
+
+
+@pytest.mark.skipif(not SUPPLIED.exists(), reason="needs the supplied tables")
+@pytest.mark.parametrize(("query", "table_name", "mark", "least"), [("op1_quality", "labels", "quality", 0.95), ("op5_toxicity", "labels", "toxic", 0.95), ("op2_language_id", "documents", "lang", 0.97)])
+def test_held_out_accuracy(spark, query, table_name, mark, least):
+    from tessera.llm import queries
+
+    marks = spark.read.parquet(f"{SUPPLIED}/{table_name}.parquet").where(f"{mark} is not null").select("doc_id", mark)
+    rows = queries.queries()[query](spark, str(SUPPLIED)).where("held_out").join(marks, "doc_id").collect()
+    got = "lang_pred" if mark == "lang" else "predicted"
+    assert len(rows) > 50 and sum(r[got] == r[mark] for r in rows) >= least * len(rows)
+
+
+def test_scores_of_long_tied_and_repeated_texts(spark):
+    """Quality and toxicity score equal texts alike, whatever other columns there are, and read long ones whole."""
+    long = "a fine day " * 30000
+    rows = [(i, t, "9", "p", 1) for i, t in enumerate([long, long + "you idiot idiot idiot", "", None, "x", "x", long])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, predicted string, trusted int")
+    lexicon = toxicity.Lexicon({"idiot": 3.0}, {}, [], [0.0, 0.0, 9.0, -9.0])
+    got = [r.score for r in toxicity.score_documents(docs, lexicon).orderBy("doc_id").collect()]
+    assert got[1] > 0.7 and len({got[0], got[2], got[3], got[4], got[5], got[6]}) == 1
+    model = quality.fit(docs, spark.createDataFrame([(4, 1), (5, 1)], "doc_id long, quality int"))
+    got = [r.score for r in quality.score_documents(docs, model).orderBy("doc_id").collect()]
+    assert got[0] == got[6] and got[4] == got[5] and got[2] == got[3] and all(0 <= s <= 1 for s in got)
+    assert not np.array_equal(quality.features(long), quality.features(long + "!" * 40000))
+
+
 def test_quality_cases(spark, nothing):
     model = quality.fit(nothing, spark.createDataFrame([], "doc_id long, quality int"))
     assert quality.score_documents(nothing, model).count() == 0
