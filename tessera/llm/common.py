@@ -31,20 +31,40 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+_roots: list[tuple[SparkSession, str]] = []
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where a local session has set none (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", at)
-        atexit.register(_remove_quietly, at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = f"file://{tempfile.gettempdir()}/tessera"
     return at.rstrip("/")
 
 
-def _remove_quietly(at: str) -> None:
-    import shutil
+def remove(spark: SparkSession, folder: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _remove_roots() -> None:
+    """Results are read lazily, so their scratch tables go when the session's program ends."""
+    for spark, root in _roots:
+        if spark.sparkContext._jsc is not None:
+            remove(spark, root)
+
+
+def text_digest(text: Column) -> Column:
+    """A digest of the text, null being the empty one."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
 
-    shutil.rmtree(at.removeprefix("file://"), ignore_errors=True)
+def wrapped(docs: DataFrame) -> DataFrame:
+    """The rows of docs as one struct row, clear of the names of columns beside it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 class Scratch:
@@ -53,6 +73,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        _roots.append((spark, self.root))
 
     def path(self, name: str) -> str:
         self.count += 1
@@ -63,16 +84,15 @@ class Scratch:
         if few:
             df = df.coalesce(4 * self.spark.sparkContext.defaultParallelism)
         df.write.parquet(at := self.path(name))
-        self.spark.sparkContext._jvm.System.gc()  # shuffle files of what is written go with their plans
+        # Shuffle files go when the driver's plans of what is written do: without this, a long job fills executors' disks.
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, df: DataFrame) -> None:
         """Remove a kept table whose readers have all finished."""
-        jvm = self.spark.sparkContext._jvm
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if self.root.rsplit("/", 1)[1] in folder:
-                at = jvm.org.apache.hadoop.fs.Path(folder)
-                at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+                remove(self.spark, folder)
 
 
 def crc_bucket(doc_id: Column, n: int) -> Column:

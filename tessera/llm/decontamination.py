@@ -5,25 +5,28 @@ shares seeds with an item, tiles are laid over both: running Karp-Rabin hashes f
 tokens, it is marked in document and item, and so on down to the seed's length. Tiles never overlap and their order
 is free, so reordered passages are caught. A document that covers enough of an item's tokens is contaminated.
 
-The benchmark is the stated query set: it is read in blocks of bounded size, each matched to all documents.
+The benchmark is the stated query set: it is read in blocks of bounded size, each matched to all documents by a job of
+its own, to which it is broadcast and after which it is dropped. What a block's items cover is written as rows of text
+digest, item and coverage, which all blocks' rows are joined by.
 
 Tokens are runs of letters and digits, lower-cased. Defined cases: null and empty texts cover nothing; items without
 a token are never covered; items with fewer tokens than a seed are matched whole; among items of equal coverage the
 smaller item_id is named; repeated rows are judged alike; an empty benchmark leaves all documents clean; extra
-columns are kept by the filter; texts are read whole, however long.
+columns, whatever their names, are kept by the filter; texts are read whole, however long.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import NOT_WORD, documents, mix, power_tables, shingles, short_batches, word_hashes
+from tessera.llm.common import NOT_WORD, Scratch, documents, mix, power_tables, shingles, short_batches, text_digest, word_hashes, wrapped
 
 SEED = 5
 THRESHOLD = 0.8
@@ -149,38 +152,41 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_TOKENS) -> Iterator[Block]:
     yield Block(held)
 
 
-def measure(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, items covered to the threshold, the item covered most, its coverage, and contaminated, for each row of docs."""
-    short_batches(docs.sparkSession)
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(0).cast("long").alias("n_items"), F.lit(None).cast("long").alias("item_id"), F.lit(0.0).alias("coverage"))
+def matches(docs: DataFrame, benchmark: DataFrame, least: float = 0.0) -> DataFrame:
+    """(tid, item_id, coverage) of each text (by its digest) and benchmark item that it covers by at least so much and shares a seed with."""
+    spark = docs.sparkSession
+    scratch, found = Scratch(spark, "decontamination"), []
+    texts = docs.select(text_digest(F.col("text")).alias("tid"), F.col("text").cast("string").alias("text")).where("text is not null")
+    short_batches(spark)
     for block in blocks(benchmark):
+        shared = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block = shared.value
             for b in batches:
-                n, item, share = (b.column(i).to_pylist() for i in (2, 3, 4))
-                for k, text in enumerate(b.column(1).to_pylist()):
-                    for i, c in block.coverages(text):
-                        n[k] += c >= threshold
-                        if c > share[k]:
-                            item[k], share[k] = i, c
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(item, pa.int64()), pa.array(share, pa.float64())], b.schema.names)
+                hits = [(k, i, c) for k, text in enumerate(b.column(1).to_pylist()) for i, c in block.coverages(text) if c >= least]
+                at, item, share = zip(*hits, strict=True) if hits else ([], [], [])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(item, pa.int64()), pa.array(share, pa.float64())], ["tid", "item_id", "coverage"])
 
-        out = out.mapInArrow(run, "doc_id long, text string, n_items long, item_id long, coverage double")
-    return out.select("doc_id", "n_items", "item_id", "coverage", (F.col("n_items") > 0).alias("contaminated"))
+        found.append(scratch.keep(texts.mapInArrow(run, "tid binary, item_id long, coverage double"), "matches", few=True))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, found).groupBy("tid", "item_id").agg(F.first("coverage").alias("coverage"))  # copies of a text say the same
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, unchanged, that cover no item to the threshold."""
-    short_batches(docs.sparkSession)
-    at = docs.columns.index("text")
-    for block in blocks(benchmark):
+def measure(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, items covered to the threshold, the item covered most, its coverage, and contaminated, for each row of docs."""
+    n = F.count(F.when(F.col("coverage") >= threshold, 1)).alias("n_items")
+    best = F.max_by(F.struct("item_id", "coverage"), F.struct("coverage", -F.col("item_id"))).alias("best")
+    found = matches(docs, benchmark).where("coverage > 0").groupBy("tid").agg(n, best)
+    rows = docs.select(F.col("doc_id").cast("long"), text_digest(F.col("text")).alias("tid")).join(found, "tid", "left")
+    n = F.coalesce("n_items", F.lit(0))
+    return rows.select("doc_id", n.alias("n_items"), "best.item_id", F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"), (n > 0).alias("contaminated"))
 
-        def run(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array([all(c < threshold for _, c in block.coverages(t)) for t in b.column(at).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, unchanged, that cover no item to the threshold."""
+    gone = matches(docs, benchmark, threshold).select("tid").distinct()
+    return wrapped(docs).withColumn("tid", text_digest(F.col("row.text"))).join(gone, "tid", "left_anti").select("row.*")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, documents, mix, shingles, short_batches, word_hashes
+from tessera.llm.common import Scratch, documents, mix, shingles, short_batches, text_digest, word_hashes, wrapped
 from tessera.llm.components import components
 
 #: Bands of so many minima: a pair at 0.8 is missed by all bands once in 10 million pairs.
@@ -88,7 +88,7 @@ def shingle_set(text: str | None, n: int) -> set[str]:
 
 def identified(doc_id: Column, text: Column) -> list[Column]:
     """What tells rows apart: doc_id and the digest of the text."""
-    return [doc_id.cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary"))).alias("tid")]
+    return [doc_id.cast("long").alias("doc_id"), text_digest(text).alias("tid")]
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
@@ -237,9 +237,7 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     key = ["doc_id", "tid"]
     rows = classified(docs, n, percent).where("rep is not null").groupBy(*key).agg(F.count("*").alias("copies"), F.first("rep").alias("rep"))
     rows = Scratch(docs.sparkSession, "near-dedup").keep(rows.select(*key, "copies", (F.struct(*key) == F.col("rep")).alias("stands")), "standing", few=True)
-    # Columns of docs stay in one struct, clear of the names used here.
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    whole = whole.select("row", *identified(F.col("row.doc_id"), F.col("row.text"))).join(rows.where("not stands").select(*key), key, "left_anti")
+    whole = wrapped(docs).select("row", *identified(F.col("row.doc_id"), F.col("row.text"))).join(rows.where("not stands").select(*key), key, "left_anti")
     again = rows.where("stands and copies > 1").select(*key)
     if not again.isEmpty():
         whole = whole.join(again, key, "left_anti").select("row").unionByName(whole.join(again, key, "left_semi").dropDuplicates(key).select("row"))

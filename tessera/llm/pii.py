@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import documents
+from tessera.llm.common import documents, wrapped
 
 #: The session's setting that holds the key, and the key of runs that set none, which is public and hides nothing.
 KEY_SETTING, EXAMPLE_KEY = "spark.tessera.pii.key", "example"
@@ -245,8 +245,7 @@ def surrogate(m: Column, key: str) -> Column:
 
 def found_entities(docs: DataFrame, key: str) -> DataFrame:
     """The rows of docs as struct row, with the entities of text, their surrogates, and text with these in their place."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    whole = whole.withColumn("text", F.col("row.text").cast("string"))
+    whole = wrapped(docs).withColumn("text", F.col("row.text").cast("string"))
     none = F.array().cast("array<string>")
     first = F.when(F.col("text").rlike(MAY_HAVE), F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).otherwise(none)
     whole = whole.withColumn("words", _once(first, name_words))

@@ -459,6 +459,10 @@ def test_tiling(spark, nothing):
     assert got[3].coverage == 0.25 and got[1].item_id == 1
     kept = decontamination.keep_clean(table(spark, cases), bench)
     assert [r.doc_id for r in kept.orderBy("doc_id").collect()] == [0, 3, 4, 5]
+    # Repeated rows are judged alike, and other columns may have any name.
+    again = spark.createDataFrame([(i, t, b"c", i) for i, t in enumerate(cases + cases)], "doc_id long, text string, tid binary, row long")
+    assert [r.doc_id for r in decontamination.keep_clean(again, bench).orderBy("doc_id").collect()] == [0, 3, 4, 5, 7, 10, 11, 12]
+    assert decontamination.keep_clean(again, bench).columns == again.columns
     assert decontamination.measure(nothing, bench).count() == 0
     assert decontamination.keep_clean(table(spark, cases), bench.limit(0)).count() == 7
 
@@ -490,6 +494,19 @@ def plain_tiling(text, item, least=5):
     return 1 - sum(free_item) / len(item)
 
 
+def test_measures_against_plain_tiling(spark):
+    """Counts of items, the best one and its coverage over whole texts, one of them long, by tiling every pair plainly."""
+    rng = random.Random(31)
+    items = [words(rng, rng.randint(1, 25), 12) for _ in range(8)]
+    cases = [" ".join(rng.choice([*items, words(rng, 6, 12)]) for _ in range(3)) for _ in range(20)] + [words(rng, 3000, 9999) + " " + items[0]]
+    got = {r.doc_id: r for r in decontamination.measure(table(spark, cases), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    for i, t in enumerate(cases):
+        share = {k: plain_tiling(t.split(), item.split(), min(5, len(item.split()))) for k, item in enumerate(items)}
+        best = max(share.values())
+        assert (got[i].n_items, got[i].coverage) == (sum(c >= 0.8 for c in share.values()), pytest.approx(best)), i
+        assert got[i].item_id == (min(k for k, c in share.items() if c == best) if best else None)
+
+
 def test_items_that_repeat_themselves():
     rng = random.Random(12)
     p, x = words(rng, 8, 9999), words(rng, 10, 9999)
