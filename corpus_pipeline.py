@@ -3,6 +3,10 @@ go, personal data become surrogates, and what is left is mixed by source.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read as the next one's docs; all
 but the last return the columns of docs. Stages on shingles take five words and a similarity of 0.8.
+
+Defined cases: null and empty texts are neither toxic nor near copies nor contaminated, have no personal data and give
+the mix no words; rows with a null doc_id are kept; of a row that is met again the near-dedup stage keeps one; an empty
+table gives an empty result; other columns, whatever their names, are kept up to the last stage.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates in their texts."""
-    return pii.without_pii(docs)
+    return pii.without_pii(docs, pii.session_key(spark))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +50,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: Learned weights and MinHash components have no SQL; tests hold run() against a plain version.
+#: Learned weights and MinHash components have no SQL; tests hold run() and its stages against plain versions.
 ORACLE_SQL = None
 
 
