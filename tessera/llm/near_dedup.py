@@ -44,8 +44,8 @@ MARGIN, FINE_MARGIN = 0.22, 0.05
 #: Passes that compare documents to others of their buckets before the last one compares all that are left, pairs of
 #: each component that such a pass estimates (those that share most buckets), and those that it confirms.
 PASSES, LOOKS, TRIES = 2, 8, 3
-#: Parts of a component's pairs that are ranked apart first.
-PARTS = 16
+#: Parts of a component's pairs that are ranked apart, one after the other.
+PARTS = (256, 16, 1)
 WORD = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -154,12 +154,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> Data
 
 
 def _first_of(df: DataFrame, key: str, by: str, most: int) -> DataFrame:
-    """Each key's pairs (a, b) of highest by, at most so many: first in each of its parts, so that a hot key is spread over tasks."""
-    df = df.withColumn("part", F.pmod(F.xxhash64("a", "b"), F.lit(PARTS)))
-    for place in ([key, "part"], [key]):
-        best = Window.partitionBy(*place).orderBy(F.desc(by), "a", "b")
+    """Each key's pairs (a, b) of highest by, at most so many: first in each of its parts, then in ever fewer, so that no task gets a hot key's rows."""
+    for parts in PARTS:
+        best = Window.partitionBy(key, F.pmod(F.xxhash64("a", "b"), F.lit(parts))).orderBy(F.desc(by), "a", "b")
         df = df.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most)
-    return df.drop("part", "r")
+    return df.drop("r")
 
 
 def classified(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
