@@ -86,7 +86,7 @@ def mix_sources(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     rows = Scratch(spark, "mixing").keep(sizes(docs), "sizes", few=True)  # texts are read once
     found = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()
-    plan, digits = targets([(r["source"], r["n"]) for r in found]), 1
+    plan, digits = targets([(r["source"], r["n"]) for r in found]), 2
     while max((r["rows"] for r in found), default=0) > PART_ROWS << 4 * digits:
         digits += 1
     slots, block = schedule(spark, plan)
