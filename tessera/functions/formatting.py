@@ -48,21 +48,30 @@ def format_boolean(x: Column) -> Column:
     return F.when(F.coalesce(x, F.lit(False)), "Có").otherwise("Không")
 
 
+def _group_words(n: int, full: bool) -> str:
+    hundreds, tens, units = n // 100, n // 10 % 10, n % 10
+    said = [f"{UNITS[hundreds]} trăm"] if hundreds or full else []
+    if tens:
+        said.append("mười" if tens == 1 else f"{UNITS[tens]} mươi")
+    elif units and said:
+        said.append("linh")
+    special = {5: "lăm"} if tens == 1 else {1: "mốt", 4: "tư", 5: "lăm"} if tens else {}
+    return " ".join([*said, special.get(units, UNITS[units])] if units else said)
+
+
 def spell_group(group: Column, full: Column) -> Column:
-    """0 to 999 in words; full says the hundreds even where there are none."""
-    unit = lambda d: F.element_at(F.array(*map(F.lit, UNITS)), (d + 1).cast("int"))
-    h, t, u = F.floor(group / 100), F.floor(group / 10) % 10, group % 10
-    hundreds = F.when((h > 0) | full, F.concat(unit(h), F.lit(" trăm")))
-    tens = F.when(t == 1, "mười").when(t > 1, F.concat(unit(t), F.lit(" mươi"))).when((u > 0) & hundreds.isNotNull(), "linh")
-    ones = F.when(u == 0, None).when(t == 0, unit(u)).when(u == 5, "lăm").when((t > 1) & (u == 1), "mốt").when((t > 1) & (u == 4), "tư").otherwise(unit(u))
-    return F.concat_ws(" ", hundreds, tens, ones)
-
-
-def spell_number(x: Column, groups: int = 7) -> Column:
-    """A positive whole number in words, by groups of a thousand; scales repeat after four."""
-    group = lambda i: F.floor(x / F.lit(1000**i)).cast("long") % 1000 if i < 5 else F.expr("0L")
-    groups = min(groups, 5)
-    parts = [F.when(group(i) > 0, F.concat(spell_group(group(i), x >= F.lit(1000 ** (i + 1))), F.lit(SCALES[i % 4]))) for i in reversed(range(groups))]
+    """0 to 999 in words; full says the hundreds even where there are none. Read from a table of all groups."""
+    table = lambda f: F.split(F.lit("|".join(_group_words(n, f) for n in range(1000))), "[|]")
+    at = group.cast("int")
+    return F.when(full, F.get(table(True), at)).otherwise(F.get(table(False), at))
+
+
+def spell_number(x: Column) -> Column:
+    """A positive long in words, by groups of a thousand; scales repeat after four."""
+    x = x.cast("long")
+    group = lambda i: F.call_function("mod", F.call_function("div", x, F.lit(1000**i)), F.lit(1000))
+    more = lambda i: x >= F.lit(1000 ** (i + 1)) if i < 6 else F.lit(False)
+    parts = [F.when(group(i) > 0, F.concat(spell_group(group(i), more(i)), F.lit(SCALES[i % 4]))) for i in reversed(range(7))]
     return F.concat_ws(" ", *parts)
 
 

@@ -1,9 +1,11 @@
 """Operators on small frames."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
+from tessera.functions import decode
 from tessera.operators import fusion, lifecycle, normalize, rules, spatial, spec, templates
 from tessera.plans.records import ALIASES
 from tessera.sources import vault
@@ -61,6 +63,9 @@ def test_issue_place_tiers(spark):
 def test_reading_order(spark):
     r = spark.createDataFrame([(1, 0, 0.5, 0.10, 0.1), (1, 1, 0.1, 0.12, 0.1), (1, 2, 0.0, 0.40, 0.1)], "image long, ord int, x double, y double, h double")
     assert [x.ord for x in spatial.sort_reading_order(r).orderBy("place").collect()] == [1, 0, 2]
+    # Centres tell lines, not tops: a tall region shares its line with a short one beside its middle.
+    r = spark.createDataFrame([(1, 0, 0.5, 0.10, 0.20), (1, 1, 0.1, 0.19, 0.02), (1, 2, 0.0, 0.40, 0.1), (1, 3, 0.2, 0.47, 0.1)], "image long, ord int, x double, y double, h double")
+    assert [(x.ord, x.line) for x in spatial.sort_reading_order(r).orderBy("place").collect()] == [(1, 0), (0, 0), (2, 1), (3, 2)]
 
 
 def test_beside_label(spark):
@@ -68,6 +73,41 @@ def test_beside_label(spark):
     regions = spark.createDataFrame(rows, "image long, ord int, text string, confidence double, x double, y double, w double, h double, fits array<string>")
     labels = spark.createDataFrame([(1, 0, "n")], "image long, ord int, field_key string")
     assert spatial.beside_label(regions, labels).first().text == "AN"
+    left = [rows[0], (1, 1, "LEFT", 0.8, 0.0, 0.11, 0.1, 0.05, ["n"]), (1, 2, "BELOW", 0.9, 0.1, 0.18, 0.1, 0.05, ["n"])]
+    assert spatial.beside_label(spark.createDataFrame(left, regions.schema), labels).first().text == "BELOW"
+    # A label that no value comes after leaves the field to the next one.
+    two = [rows[0], (1, 1, "Tên", 0.9, 0.1, 0.6, 0.1, 0.05, []), (1, 2, "AN", 0.9, 0.3, 0.6, 0.1, 0.05, ["n"])]
+    both = spark.createDataFrame([(1, 0, "n"), (1, 1, "n")], labels.schema)
+    assert spatial.beside_label(spark.createDataFrame(two, regions.schema), both).first().text == "AN"
+
+
+def test_charsets():
+    assert spatial.parse_charset("Z-A") == frozenset("Z-A") and spatial.parse_charset("A-C-E") == frozenset("ABC-E")
+    assert len(spatial.parse_charset("A-Z0-9<")) == 37 and spatial.parse_charset("-a") == frozenset("-a") and spatial.parse_charset("") == frozenset()
+
+
+def test_bands_and_votes(spark):
+    """Gaps of 0.04 to 0.12 that differ by 0.025 at most, heights by 0.02; only a lone block near an edge decides."""
+    make = lambda image, centres, h=0.03: [(image, c, h) for c in centres]
+    rows = make(1, [0.80, 0.86, 0.92]) + make(2, [0.10, 0.16, 0.22]) + make(3, [0.1, 0.16, 0.22, 0.8, 0.86, 0.92]) + make(4, [0.45, 0.50, 0.55]) + make(5, [0.1, 0.3, 0.5]) + [(6, 0.1, 0.03), (6, 0.16, 0.06), (6, 0.22, 0.03)] + make(7, [0.1, 0.15, 0.23]) + make(8, [0.4, 0.46, 0.52, 0.8, 0.86, 0.92])
+    found = spatial.evenly_spaced_bands(spark.createDataFrame(rows, "image int, centre double, h double"))
+    assert sorted((r.image, round(r.centre, 2)) for r in found.collect()) == [(1, 0.86), (2, 0.16), (3, 0.16), (3, 0.86), (4, 0.5), (8, 0.46), (8, 0.86)]
+    assert {r.image: r.upside_down for r in spatial.orientation_vote(found).collect()} == {1: False, 2: True, 3: None, 4: None, 8: False}
+
+
+def test_repairs_are_the_first_in_order():
+    """Against trying edits depth first."""
+    rng = random.Random(1)
+
+    def plain(chars, start, left, digit):
+        if decode._digit_of(chars) == digit:
+            return chars
+        tries = ((i, o) for i in range(start, len(chars)) for o in decode.ALTERNATIVES.get(chars[i], "")) if left else ()
+        return next((found for i, o in tries if (found := plain(chars[:i] + o + chars[i + 1 :], i + 1, left - 1, digit))), None)
+
+    for _ in range(40):
+        value, digit = "".join(rng.choice("0123456789<A") for _ in range(rng.choice([6, 9, 14]))), rng.choice("0123456789<")
+        assert decode.repair_group(value, digit) == plain(value, 0, decode.MAX_EDITS, digit)
 
 
 def test_spec_paging_and_nulls(spark):
