@@ -38,7 +38,7 @@ def _has(name: str) -> Column:
 
 
 def _date(name: str) -> Column:
-    return dates.parse_iso(F.col(name))
+    return F.col(f"_parsed_{name}")
 
 
 def _bad_date(name: str) -> Callable[[Context], Column]:
@@ -50,7 +50,7 @@ def _expiry_text() -> Column:
 
 
 def _age_at_issue() -> Column:
-    return dates.age_in_years(_date("date_of_birth"), _date("issue_date"))
+    return F.col("_parsed_age")
 
 
 def _ordered() -> Column:
@@ -59,7 +59,8 @@ def _ordered() -> Column:
 
 
 def _citizen() -> Column:
-    return F.when(F.col("id_number").rlike(r"^[0-9]{12}\z"), F.col("id_number"))
+    return F.col("_parsed_citizen")
+
 
 
 def implied_year(citizen: Column) -> Column:
@@ -69,7 +70,7 @@ def implied_year(citizen: Column) -> Column:
 
 
 def _wrong_year(c: Context) -> Column:
-    years, born = domains.inferred_birth_years(_citizen()), F.year(_date("date_of_birth"))
+    years, born = F.col("_parsed_years"), F.year(_date("date_of_birth"))
     return (F.lpad((born % 100).cast("string"), 2, "0") != domains.birth_year_suffix(_citizen())) | ~F.coalesce(born.between(years["lo"], years["hi"]), F.lit(True))
 
 
@@ -125,8 +126,17 @@ def issues(rules: list[Rule], context: Context) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
+def parsed_card(df: DataFrame) -> DataFrame:
+    """df with the dates, id, age and years that the rules over a card read many times, each computed once a row."""
+    dated = {f"_parsed_{f}": dates.parse_iso(F.col(f)) for f in ("date_of_birth", "issue_date", "expiry_date")}
+    df = df.withColumns(dated | {"_parsed_citizen": F.when(F.col("id_number").rlike(r"^[0-9]{12}\z"), F.col("id_number"))})
+    return df.withColumns({"_parsed_age": dates.age_in_years(_date("date_of_birth"), _date("issue_date")), "_parsed_years": domains.inferred_birth_years(_citizen())})
+
+
 def validate(df: DataFrame, rule_set: str, context: Context) -> DataFrame:
-    return df.withColumn("issues", issues(RULE_SETS[rule_set], context))
+    """df with the issues that the rules find."""
+    rows = parsed_card(df) if rule_set == "ocr" else df
+    return rows.withColumn("issues", issues(RULE_SETS[rule_set], context)).select(*df.columns, "issues")
 
 
 def issue_table(df: DataFrame, keys: list[str]) -> DataFrame:

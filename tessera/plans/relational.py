@@ -155,10 +155,10 @@ def retry_outcome(spark, d):
     return lifecycle.finish(e, status, F.col("ts"), F.col("event_id") % 2 == 0).select("event_id", "status", "progress")
 
 
-@query("""WITH parties AS (SELECT l_orderkey AS contract, l_suppkey AS supplier FROM lineitem WHERE l_linenumber = 1)
+@query("""WITH parties AS (SELECT l_orderkey AS contract, l_suppkey AS supplier FROM lineitem)
 SELECT contract, s_name, n_name FROM parties JOIN supplier ON supplier = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey < 10""")
 def resolve_parties(spark, d):
-    parties = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("contract"), "l_suppkey")
+    parties = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("contract"), "l_suppkey")
     some = table(spark, d, "nation").where("n_nationkey < 10")  # twenty-five rows
     out = parties.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(some), F.col("s_nationkey") == F.col("n_nationkey"), "left")
     return out.select("contract", "s_name", "n_name")
@@ -264,7 +264,6 @@ def dashboard_summary(spark, d):
     return table(spark, d, "orders").groupBy(F.trunc("o_orderdate", "month").alias("period"), "o_orderstatus").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, user_id, count(*) AS n, grouping(event_type) + 0 AS g FROM events WHERE user_id < 20 GROUP BY GROUPING SETS ((event_type, user_id), (event_type), ())")
+@query("SELECT event_type, user_id, count(*) AS n, grouping(event_type) + 0 AS g FROM events GROUP BY GROUPING SETS ((event_type, user_id), (event_type), ())")
 def extension_grouping_sets(spark, d):
-    e = table(spark, d, "events").where("user_id < 20")
-    return e.rollup("event_type", "user_id").agg(F.count("*").alias("n"), F.grouping("event_type").cast("long").alias("g"))
+    return table(spark, d, "events").rollup("event_type", "user_id").agg(F.count("*").alias("n"), F.grouping("event_type").cast("long").alias("g"))
