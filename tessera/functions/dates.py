@@ -92,6 +92,23 @@ def single_substitutions(digits: Column) -> Column:
 
 
 def repair_date(raw: Column) -> Column:
-    """The one real date that a single substitution gives, if exactly one does."""
-    found = F.array_distinct(F.filter(F.transform(single_substitutions(date_digits(raw)), _real), lambda d: d.isNotNull()))
-    return F.when(F.size(found) == 1, F.element_at(found, 1))
+    """The one real date that a single substitution gives, if exactly one does: day and month are changed as numbers."""
+    step = F.array(*[F.lit(int(CONFUSABLE[d]) - int(d) if d in CONFUSABLE else None).cast("int") for d in "0123456789"])
+
+    def of(digits: Column) -> Column:
+        number = lambda i, n: F.substring(digits, i, n).cast("int")
+        day, month, year = number(1, 2), number(3, 2), number(5, 4)
+        change = lambda i: F.get(step, number(i, 1))
+        leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+        days = F.array(*map(F.lit, (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)))
+
+        def code(d: Column, m: Column) -> Column:
+            last = F.get(days, m - 1) + F.when(leap & (m == 2), 1).otherwise(0)
+            return F.when((d >= 1) & (d <= last), m * 100 + d)
+
+        made = F.array(code(day + 10 * change(1), month), code(day + change(2), month), code(day, month + 10 * change(3)), code(day, month + change(4)))
+        found = F.array_distinct(F.filter(made, lambda c: c.isNotNull()))
+        one = F.when(year.between(1900, 2100) & (F.size(found) == 1), F.get(found, F.lit(0)))
+        return F.when(one.isNotNull(), F.make_date(year, F.floor(one / 100).cast("int"), one % 100))
+
+    return F.get(F.transform(F.array(date_digits(raw)), of), F.lit(0))

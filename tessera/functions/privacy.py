@@ -32,11 +32,12 @@ def mask_keep_suffix(x: Column, visible: int = 4) -> Column:
 
 
 def _masked_runs(x: Column, length: str, keep: int, lead: str = "") -> Column:
-    """Runs of digits of the given lengths between word edges: each digit with at least keep others after it is a dot."""
-    run = rf"{_EDGE[0]}{lead}[0-9]{{{length}}}{_EDGE[1]}"
-    pieces, found = F.split(x, run, -1), F.regexp_extract_all(x, F.lit(f"({run})"), F.lit(1))
-    masked = F.transform(found, lambda m: F.concat(F.repeat(F.lit(DOT), F.length(m) - keep), F.right(m, F.lit(keep))))
-    return F.when(x.rlike(run), F.array_join(F.zip_with(pieces, masked, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")).otherwise(x)
+    """Runs of digits of the given lengths between word edges: each digit with at least keep others after it is a dot.
+
+    A match is the first digit of a run, or the digit where the last match ended.
+    """
+    opens = rf"(?={lead}[0-9]{{{length}}}{_EDGE[1]}){_EDGE[0]}"
+    return F.regexp_replace(x, rf"(?:{opens}|(?!^)\G)[0-9](?=[0-9]{{{keep}}})", DOT)
 
 
 def mask_securities(x: Column) -> Column:
@@ -49,9 +50,8 @@ def mask_email(x: Column) -> Column:
 
 def redact_text(x: Column) -> Column:
     """Ids, phones, securities accounts, other long numbers and mail addresses, in this order."""
-    x = _masked_runs(x, "12", 4)
-    x = _masked_runs(x, "9", 3, lead="0")
-    return mask_email(_masked_runs(mask_securities(x), "9,20", 4))
+    long = _masked_runs(_masked_runs(x, "12", 4), "9", 3, lead="0")
+    return mask_email(F.when(x.rlike("[0-9]{6}"), _masked_runs(mask_securities(long), "9,20", 4)).otherwise(x))
 
 
 def mask_full_name(x: Column) -> Column:

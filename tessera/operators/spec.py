@@ -65,7 +65,51 @@ def conflicts(new: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
 
 
 def insertable(new: DataFrame, stored: DataFrame, key: list[str]) -> DataFrame:
-    return new.join(stored.select(*key), key, "left_anti")
+    """The new rows that conflict with none, stored or new."""
+    return new.join(conflicts(new, stored, key).select(*key), key, "left_anti")
+
+
+def of_kind(rows: DataFrame, kinds: DataFrame, on: tuple[str, str], spec: Specification) -> DataFrame:
+    """rows with their kind, for the kinds of a small dimension that meet spec; its rows are as many as the configuration has."""
+    child, parent = on
+    return rows.join(F.broadcast(select(kinds, spec)), F.col(child) == F.col(parent)).orderBy(*ordering(spec.order_by))
+
+
+def by_needle(rows: DataFrame, column: str, needles: DataFrame, needle: str) -> DataFrame:
+    """Each needle with the rows whose column equals it; an empty or null needle finds nothing."""
+    return needles.where(F.nullif(F.col(needle), F.lit("")).isNotNull()).join(rows, F.col(needle) == F.col(column))
+
+
+def by_digest(rows: DataFrame, content: Column, digests: DataFrame) -> DataFrame:
+    """rows with the sha256 of their content, where digests (sha256) has it."""
+    return rows.withColumn("sha256", F.sha2(content, 256)).join(digests.select("sha256"), "sha256", "left_semi")
+
+
+def counted(events: DataFrame, key: str, at: str) -> DataFrame:
+    """How often and when last something was recorded for each key: an atomic counter as the sum of its events."""
+    return events.groupBy(key).agg(F.count("*").alias("times"), F.max(at).alias("last_at"))
+
+
+def with_children(parents: DataFrame, key: str, children: DataFrame, of: str, value: str) -> DataFrame:
+    """Every parent with its children's values in order, none being an empty list, and how many there are."""
+    kids = children.groupBy(F.col(of).alias("_of")).agg(F.array_sort(F.collect_list(value)).alias("children"))
+    out = parents.join(kids, F.col(key) == F.col("_of"), "left").drop("_of")
+    return out.withColumn("children", F.coalesce("children", F.array().cast(kids.schema["children"].dataType))).withColumn("n_children", F.size("children").cast("long"))
+
+
+def with_result(sessions: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """Every session with its result, if it has one."""
+    return sessions.join(results, key, "left")
+
+
+def resolved_parties(requests: DataFrame, customers: DataFrame, on: tuple[str, str], accounts: DataFrame, account_on: tuple[str, str]) -> DataFrame:
+    """Each requested party with its customer and, if there is one, its account."""
+    return requests.join(customers, F.col(on[0]) == F.col(on[1])).join(accounts, F.col(account_on[0]) == F.col(account_on[1]), "left")
+
+
+def unresolved_parties(requests: DataFrame, customers: DataFrame, on: tuple[str, str]) -> DataFrame:
+    """Requests whose customer is missing, any of which aborts the whole."""
+    return requests.join(customers, F.col(on[0]) == F.col(on[1]), "left_anti")
 
 
 def update_versioned(stored: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:

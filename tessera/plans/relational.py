@@ -69,16 +69,19 @@ def optimistic_update(spark, d):
     return spec.update_versioned(stored, changes, "s_suppkey", ["s_name"])
 
 
-@query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE') AND n_name IS NOT NULL")
+@query("SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
 def alias_join(spark, d):
-    kinds = table(spark, d, "region").where(F.col("r_name").isin("ASIA", "EUROPE"))  # five rows
-    rows = table(spark, d, "nation").where(F.col("n_name").isNotNull())
-    return rows.join(F.broadcast(kinds), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    of_asia = Specification({"r_name": "ASIA"}, ("n_name", "n_nationkey"))
+    return spec.of_kind(table(spark, d, "nation"), table(spark, d, "region"), ("n_regionkey", "r_regionkey"), of_asia).select("n_nationkey", "n_name", "r_name")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE nullif('', '') = n_name")
+@query("SELECT c_custkey, n_nationkey FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE n.n_name END AS needle FROM customer LEFT JOIN nation n ON c_nationkey = n.n_nationkey AND c_custkey % 5 <> 0) JOIN nation ON nullif(needle, '') = n_name")
 def alias_empty_needle(spark, d):
-    return table(spark, d, "nation").where(F.nullif(F.lit(""), F.lit("")) == F.col("n_name")).select("n_nationkey", "n_name")
+    """Needles are names of nations, some of them empty or null."""
+    names = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    asked = table(spark, d, "customer").join(names, (F.col("c_nationkey") == F.col("k")) & (F.col("c_custkey") % 5 != 0), "left")
+    needles = asked.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("name")).alias("needle"))
+    return spec.by_needle(table(spark, d, "nation"), "n_name", needles, "needle").select("c_custkey", "n_nationkey")
 
 
 @query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS FIRST, o_orderkey) AS ord FROM orders")
@@ -88,25 +91,34 @@ def children_in_order(spark, d):
 
 @query("SELECT c_custkey, count(o_orderkey) AS n_orders, coalesce(list_sort(list(o_orderkey) FILTER (o_orderkey IS NOT NULL)), []::BIGINT[]) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 def parents_with_children(spark, d):
-    kids = table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("o_orderkey")).alias("orders"))
-    out = table(spark, d, "customer").select("c_custkey").join(kids, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return out.select("c_custkey", F.coalesce("n", F.lit(0)).alias("n_orders"), F.coalesce("orders", F.array().cast("array<bigint>")).alias("orders"))
+    out = spec.with_children(table(spark, d, "customer").select("c_custkey"), "c_custkey", table(spark, d, "orders"), "o_custkey", "o_orderkey")
+    return out.select("c_custkey", F.col("n_children").alias("n_orders"), F.col("children").alias("orders"))
+
+
+@query("SELECT doc_id, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def sessions_with_results(spark, d):
+    return spec.with_result(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id").select("doc_id", "quality", "toxic")
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents GROUP BY 1 HAVING count(*) > 1)")
 def content_hash_lookup(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
-    return rows.join(rows.groupBy("sha256").agg(F.count("*").alias("n")).where("n > 1").select("sha256"), "sha256", "left_semi").select("doc_id", "sha256")
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    twice = rows.groupBy(F.sha2("text", 256).alias("sha256")).agg(F.count("*").alias("n")).where("n > 1")
+    return spec.by_digest(rows, F.col("text"), twice).select("doc_id", "sha256")
 
 
-@query("SELECT * FROM lineitem WHERE l_orderkey = 3 AND l_linenumber = 1")
+@query("SELECT * FROM lineitem WHERE l_orderkey = (SELECT min(o_orderkey) FROM orders) AND l_linenumber = (SELECT min(l_linenumber) FROM lineitem WHERE l_orderkey = (SELECT min(o_orderkey) FROM orders))")
 def two_key_lookup(spark, d):
-    return spec.select(table(spark, d, "lineitem"), Specification({"l_orderkey": 3, "l_linenumber": 1}))
+    """The first line of the first order that has any: the keys are two values read from the tables."""
+    lines = table(spark, d, "lineitem")
+    order = table(spark, d, "orders").agg(F.min("o_orderkey")).first()[0]
+    line = spec.get(lines, "l_orderkey", order).agg(F.min("l_linenumber")).first()[0]
+    return spec.select(lines, Specification({"l_orderkey": order, "l_linenumber": line})).where("l_orderkey is not null and l_linenumber is not null")
 
 
 @query("SELECT user_id, count(*) AS downloads, max(ts) AS last_at FROM events WHERE event_type = 'click' GROUP BY user_id")
 def download_counter(spark, d):
-    return table(spark, d, "events").where("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("downloads"), F.max("ts").alias("last_at"))
+    return spec.counted(table(spark, d, "events").where("event_type = 'click'"), "user_id", "ts").withColumnRenamed("times", "downloads")
 
 
 @query("SELECT user_id, max(ts) AS ts, max_by(event_type, (ts, event_type)) AS event_type FROM events GROUP BY user_id")
@@ -159,11 +171,17 @@ def retry_outcome(spark, d):
 SELECT contract, s_name, n_name FROM parties JOIN supplier ON supplier = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey < 10""")
 def resolve_parties(spark, d):
     parties = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("contract"), "l_suppkey")
-    some = table(spark, d, "nation").where("n_nationkey < 10")  # twenty-five rows
-    out = parties.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(some), F.col("s_nationkey") == F.col("n_nationkey"), "left")
+    some = F.broadcast(table(spark, d, "nation").where("n_nationkey < 10"))  # twenty-five rows
+    out = spec.resolved_parties(parties, table(spark, d, "supplier"), ("l_suppkey", "s_suppkey"), some, ("s_nationkey", "n_nationkey"))
     return out.select("contract", "s_name", "n_name")
 
 
+@query("SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def unresolved_parties(spark, d):
+    asked = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    return spec.unresolved_parties(asked, table(spark, d, "supplier").where("s_acctbal > 0"), ("l_suppkey", "s_suppkey"))
+
+
 @query("SELECT user_id, list_sort(list_distinct(list(event_type))) AS flags, CASE WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'True' ELSE 'False' END AS had_error, count(*)::VARCHAR AS n FROM events GROUP BY user_id")
 def session_snapshot(spark, d):
     g = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("flags"), F.count(F.when(F.col("event_type") == "error", 1)).alias("e"), F.count("*").alias("c"))

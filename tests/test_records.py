@@ -151,3 +151,23 @@ def test_streaming_queue(spark, tmp_path):
     q = queue.run(spark.readStream.schema("id int, status string").parquet(src), lambda df: df.withColumn("status", F.lit("SUCCEEDED")), str(tmp_path / "out"), str(tmp_path / "cp"), once=True)
     q.awaitTermination(60)
     assert [r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+
+
+def test_regions(spark):
+    rows = [(1, 200, 100, [([10.0, 60.0, -5.0], [20.0, 30.0, 120.0], " te\u0302n ", 0.9), ([], [], "x", 0.9), ([1.0], [1.0], "  ", 0.5), ([1.0], [1.0], None, 0.5)]), (2, 10, 10, None)]
+    pages = spark.createDataFrame(rows, "image int, width int, height int, items array<struct<xs array<double>, ys array<double>, text string, score double>>".replace("xs array", "xs: array").replace("ys array", "ys: array").replace("text string", "text: string").replace("score double", "score: double"))
+    got = spatial.to_regions(pages).collect()
+    assert [(r.image, r.ord, r.text, r.confidence) for r in got] == [(1, 0, "t\u00ean", 0.9)]
+    assert (got[0].x, got[0].y, got[0].w, got[0].h) == (0.0, 0.2, 0.3, 0.8)
+
+
+def test_first_valid_block(spark):
+    rows = [(1, 3, False, "a"), (1, 4, True, "b"), (2, 3, False, "c"), (2, 4, False, "d"), (3, 3, True, "e"), (3, 4, True, "f")]
+    got = decode.first_valid(spark.createDataFrame(rows, "image int, variant int, checksum_valid boolean, birth string"), "image", "variant", ["birth", "checksum_valid"]).collect()
+    assert {(r.image, r.birth, r.checksum_valid) for r in got} == {(1, "b", True), (2, "c", False), (3, "e", True)}
+
+
+def test_inserts_and_conflicts_part_the_new_rows(spark):
+    new, stored = spark.createDataFrame([(1,), (2,), (2,), (3,)], "k int"), spark.createDataFrame([(3,), (3,)], "k int")
+    assert sorted(r.k for r in spec.conflicts(new, stored, ["k"]).collect()) == [2, 2, 3]
+    assert [r.k for r in spec.insertable(new, stored, ["k"]).collect()] == [1]
