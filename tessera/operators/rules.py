@@ -140,7 +140,8 @@ def validate(df: DataFrame, rule_set: str, context: Context) -> DataFrame:
 
 
 def issue_table(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.select(*keys, F.inline("issues"))
+    """An issue a row. The outer form keeps Spark from finding all issues once more, as a filter for rows that have any."""
+    return df.select(*keys, F.inline_outer("issues")).where(F.col("code").isNotNull())
 
 
 def by_severity(found: Column, severity: str) -> Column:
