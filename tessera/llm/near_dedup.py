@@ -167,9 +167,9 @@ def classified(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     scratch = Scratch(spark, "near-dedup")
     signed = scratch.keep(signatures(docs, n), "signatures")
     filled = signed.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    # One row for each different set, numbered as it is written.
+    # One row for each different set, numbered in the order of their first rows, so that a bucket's least one is its earliest.
     classes = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "tid")).alias("row"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
-    classes = scratch.keep(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = scratch.keep(classes.sort("row").withColumn("id", F.monotonically_increasing_id()), "classes")
     bands = classes.select("id", F.explode("bands").alias("key"))
     leads = bands.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("members")).where("members > 1")
     bands = scratch.keep(bands.join(leads, "key").select("id", "key", "lead"), "bands")
@@ -219,8 +219,11 @@ def classified(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     final = components(linked, scratch)
     for used in (bands, first, texts, placed_kept, fine):
         scratch.drop(used)
-    found = classes.select("digest", "id", "row").join(final, "id", "left").withColumn("found", F.coalesce("component", "id"))
-    ids = found.join(found.groupBy("found").agg(F.min("row").alias("rep")), "found").select("digest", "rep")
+    # A component is named by its least id, whose row stands for it; a hot component's members meet it in several tasks.
+    names = final.select("component").distinct().join(classes.select(F.col("id").alias("component"), F.col("row").alias("rep")), "component")
+    names = names.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS[1] - 1))))
+    named = final.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(PARTS[1])).cast("int")).join(names, ["component", "part"]).select("id", "rep")
+    ids = classes.select("digest", "id", "row").join(named, "id", "left").select("digest", F.coalesce("rep", "row").alias("rep"))
     rows = signed.select("doc_id", "tid", "n_shingles", "digest").join(ids, "digest", "left")
     return rows.select("doc_id", "tid", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"))
 
