@@ -118,3 +118,10 @@ def requeue_stale(jobs: DataFrame, now: Column, seconds: int = STALE_SECONDS) ->
     """Running jobs without a fresh heartbeat: failed if no attempt is left, else queued."""
     stale = jobs.where((F.col("status") == "RUNNING") & (F.unix_micros("heartbeat_at") < F.unix_micros(now) - seconds * 1_000_000))
     return stale.withColumn("status", F.when(F.col("attempt_count") >= F.col("max_attempts"), "FAILED").otherwise("QUEUED"))
+
+
+def error_code(code: Column, types: Column, known: list[str], fallbacks: list[tuple[str, str]], unhandled: str) -> Column:
+    """The code that an error is answered with: its own if known, else that of the first fallback (type, code) among its types and their ancestors."""
+    usual = [(kind, other) for kind, other in fallbacks if other in known]
+    by_type = F.coalesce(*[F.when(F.array_contains(types, kind), other) for kind, other in usual], F.lit(unhandled))
+    return F.when(code.isin(*known), code).otherwise(by_type)

@@ -6,12 +6,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegralType, MapType, NullType, StringType, StructType
 
 # Filters that templates may use; names that they may not.
 FILTERS = ("upper", "lower", "title", "trim", "default", "join", "length", "replace", "round", "format")
 DANGEROUS = ("self", "cycler", "joiner", "namespace", "lipsum", "range", "dict", "config", "request")
 BLACKLIST = ("__class__", "__mro__", "__subclasses__", "__globals__", "__builtins__", "import", "eval(", "exec(")
 SEVERITY = {"ERROR": 0, "WARNING": 1, "INFO": 2}
+SAFE = (StringType, BooleanType, IntegralType, FloatType, DoubleType, NullType)
 
 
 def build(*layers: Column) -> Column:
@@ -125,3 +127,22 @@ def image_markers(source: DataFrame, key: str, text: str) -> DataFrame:
     """Image placeholders by paragraph."""
     lines = source.select(key, F.posexplode(F.split(text, "\n")).alias("paragraph", "line"))
     return lines.where(F.col("line").rlike(r"\{\{\s*image|\[\[image")).select(key, "paragraph", "line")
+
+
+def unsafe_paths(context: DataType, at: str = "") -> list[str]:
+    """Paths in a context's schema whose type no template may see: only plain values and containers of them are safe."""
+    if isinstance(context, StructType):
+        return [p for f in context.fields for p in unsafe_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
+    if isinstance(context, ArrayType):
+        return unsafe_paths(context.elementType, f"{at}[]")
+    if isinstance(context, MapType):
+        keys = [] if isinstance(context.keyType, StringType) else [f"{at}{{key}}"]
+        return keys + unsafe_paths(context.valueType, f"{at}{{}}")
+    return [] if isinstance(context, SAFE) else [at]
+
+
+def assert_render_safe(contexts: DataFrame) -> DataFrame:
+    """contexts, if every column is safe to render; an error when the plan is made otherwise."""
+    if found := unsafe_paths(contexts.schema):
+        raise TypeError(f"not safe to render: {', '.join(found)}")
+    return contexts

@@ -527,6 +527,23 @@ def image_quality(spark, d):
     return table(spark, d, "lineitem").select(*keys, q.alias("q")).select(*keys, "q.score", "q.flags")
 
 
+@query("""WITH m AS (SELECT p_partkey, 300 + p_partkey % 1700 AS w, 200 + p_size * 25 AS h FROM part)
+SELECT p_partkey, greatest(1, round_even(w * (1600.0::DOUBLE / greatest(w, h)), 0))::INT AS width, greatest(1, round_even(h * (1600.0::DOUBLE / greatest(w, h)), 0))::INT AS height FROM m""")
+def scaled_sizes(spark, d):
+    size = spatial.scaled_size(300 + F.col("p_partkey") % 1700, 200 + F.col("p_size") * 25, 1600)
+    return table(spark, d, "part").select("p_partkey", size.alias("s")).select("p_partkey", "s.width", "s.height")
+
+
+@query("""WITH m AS (SELECT p_partkey, 299.0::DOUBLE + p_partkey % 1700 AS r, 199.0::DOUBLE + p_size * 25 AS b FROM part)
+SELECT p_partkey, CASE WHEN r >= b THEN 0 ELSE r END AS first_x, CASE WHEN r >= b THEN r ELSE 0 END AS third_x, b AS third_y
+FROM (SELECT p_partkey, r, b FROM m WHERE greatest(r, b) / least(r, b) BETWEEN 1.45::DOUBLE AND 1.72::DOUBLE)""")
+def full_frames(spark, d):
+    """The first and third corners of images that are cards as they are."""
+    quad = spatial.full_frame(300 + F.col("p_partkey") % 1700, 200 + F.col("p_size") * 25)
+    rows = table(spark, d, "part").select("p_partkey", quad.alias("q")).where("q is not null")
+    return rows.select("p_partkey", F.col("q")[0]["x"].alias("first_x"), F.col("q")[2]["x"].alias("third_x"), F.col("q")[2]["y"].alias("third_y"))
+
+
 @query("SELECT event_id, CASE WHEN sa >= 0.4 AND sb >= 0.4 AND a = b THEN 'DUPLICATE_SIDE' WHEN sa >= 0.4 OR sb >= 0.4 THEN 'RESOLVED' ELSE 'AMBIGUOUS' END AS verdict FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'FRONT' WHEN event_id % 3 = 0 THEN 'BACK' ELSE NULL END AS a, CASE WHEN event_id % 2 = 0 OR event_id % 3 = 0 THEN 0.4 ELSE 0 END AS sa, CASE WHEN event_id % 5 = 0 THEN 'BACK' ELSE 'FRONT' END AS b, CASE WHEN event_id % 5 = 0 THEN 0.4 ELSE 0.15 END AS sb FROM events)")
 def side_verdicts(spark, d):
     i, no, zero = F.col("event_id"), F.lit(False), F.lit(0)

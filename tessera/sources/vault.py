@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,13 @@ from tessera.functions import privacy
 
 # Bounds of an upload, and the shape of a stored path.
 MAX_BYTES, MAX_PIXELS, LEAST_EDGE, MOST_EDGE = 10 * 1024 * 1024, 60_000_000, 320, 12_000
+FRAMES = tuple(m for m in range(0xC0, 0xD0) if m not in (0xC4, 0xC8, 0xCC))
 CATEGORIES = ("card_images", "contracts", "templates")
 SHAPE = rf"^(?:{'|'.join(CATEGORIES)})/[0-9]{{4}}/(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/[0-9a-f]{{8}}(?:-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}\.enc\z"
 
+#: Segments of a JPG that are walked for its frame header.
+SEGMENTS = 1024
+
 
 def read(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files under path with their bytes; pruned to names before bytes are read if only those are asked for."""
@@ -30,8 +36,38 @@ def png_size(x: Column) -> Column:
     return F.when(image_kind(x) == "PNG", F.struct(_u(x, 17, 4).alias("width"), _u(x, 21, 4).alias("height")))
 
 
-def probe(x: Column, width: Column, height: Column) -> Column:
-    """Why an upload is refused, or null: empty, too large, of another kind, undecoded, too many pixels, edges out of bounds."""
+def jpg_size(x: Column) -> Column:
+    """Width and height as the first frame header of a JPG says; null without one among its first SEGMENTS segments."""
+
+    def step(at: Column, _: Column) -> Column:
+        """The place of the next segment; a frame header's own place below 0; 0 where no segment can be read."""
+        mark, size = _u(x, at + 1, 1), _u(x, at + 2, 2)
+        here = at.cast("int")
+        walk = F.when(mark == 0xFF, here + 1).when(mark.isin(*FRAMES), -here).when((mark == 1) | mark.between(0xD0, 0xD8), here + 2).when(~mark.isin(0xD9, 0xDA) & (size >= 2), here + 2 + size.cast("int"))
+        return F.when(here <= 0, here).otherwise(F.coalesce(F.when(_u(x, here, 1) == 0xFF, walk), F.lit(0)))
+
+    at = -F.aggregate(F.sequence(F.lit(1), F.lit(SEGMENTS)), F.lit(3), step)
+    size = lambda at: F.struct(_u(x, at + 7, 2).alias("width"), _u(x, at + 5, 2).alias("height"))
+    return F.when(image_kind(x) == "JPG", _once(at, lambda at: F.when(at > 0, _once(size(at), lambda s: F.when((s["width"] > 0) & (s["height"] > 0), s)))))
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x with x computed once, however often f reads it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def image_size(x: Column) -> Column:
+    """Width and height as the file's header says; null if it says none."""
+    return F.when(image_kind(x) == "PNG", png_size(x)).when(image_kind(x) == "JPG", jpg_size(x))
+
+
+def probe(x: Column, width: Column | None = None, height: Column | None = None) -> Column:
+    """Why an upload is refused, or null: empty, too large, of another kind, undecoded, too many pixels, edges out of bounds.
+
+    Sizes that a decoder has found may be given; else those of the header count.
+    """
+    if width is None or height is None:
+        return _once(image_size(x), lambda size: probe(x, size["width"], size["height"]))
     return (
         F.when(F.coalesce(F.octet_length(x), F.lit(0)) == 0, "EMPTY")
         .when(F.octet_length(x) > MAX_BYTES, "TOO_LARGE")

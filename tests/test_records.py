@@ -2,7 +2,9 @@
 
 import datetime
 import random
+import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import decode
@@ -171,3 +173,41 @@ def test_inserts_and_conflicts_part_the_new_rows(spark):
     new, stored = spark.createDataFrame([(1,), (2,), (2,), (3,)], "k int"), spark.createDataFrame([(3,), (3,)], "k int")
     assert sorted(r.k for r in spec.conflicts(new, stored, ["k"]).collect()) == [2, 2, 3]
     assert [r.k for r in spec.insertable(new, stored, ["k"]).collect()] == [1]
+
+
+def test_probe_reads_sizes_from_headers(spark):
+    frame = lambda w, h, mark=0xC0: struct.pack(">BBHBHH", 0xFF, mark, 11, 8, h, w) + b"\1\0\0\0"
+    segment = lambda mark, n: struct.pack(">BBH", 0xFF, mark, n + 2) + b"\xff\xc0" * (n // 2)
+    png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 700, 400)
+    files = {
+        "plain": b"\xff\xd8" + segment(0xE0, 14) + frame(640, 480),
+        "large segments, tables, fill bytes": b"\xff\xd8" + segment(0xE1, 60000) + segment(0xC4, 20) + b"\xff\xff" + frame(1000, 500, 0xC2),
+        "small": b"\xff\xd8" + segment(0xE0, 14) + frame(100, 480),
+        "scan first": b"\xff\xd8" + segment(0xDA, 8) + frame(640, 480),
+        "cut": (b"\xff\xd8" + segment(0xE0, 14) + frame(640, 480))[:24],
+        "no height": b"\xff\xd8" + frame(640, 0),
+        "png": png,
+        "text": b"hello",
+        "empty": b"",
+    }
+    rows = spark.createDataFrame([*files.items(), ("null", None)], "name string, content binary")
+    got = {r.name: (r.size and tuple(r.size), r.why) for r in rows.select("name", vault.image_size(F.col("content")).alias("size"), vault.probe(F.col("content")).alias("why")).collect()}
+    assert got == {
+        "plain": ((640, 480), None), "large segments, tables, fill bytes": ((1000, 500), None), "small": ((100, 480), "BAD_SIZE"), "scan first": (None, "UNDECODABLE"), "cut": (None, "UNDECODABLE"),
+        "no height": (None, "UNDECODABLE"), "png": ((700, 400), None), "text": (None, "UNSUPPORTED"), "empty": (None, "EMPTY"), "null": (None, "EMPTY"),
+    }
+
+
+def test_error_code(spark):
+    rows = spark.createDataFrame([(1, "A", ["x"]), (2, "odd", ["mine", "storage", "base"]), (3, None, ["base"]), (4, "odd", None), (5, "odd", ["crypto", "storage"])], "id int, code string, types array<string>")
+    answer = lifecycle.error_code(F.col("code"), F.col("types"), ["A", "S", "B"], [("crypto", "not known"), ("storage", "S"), ("base", "B")], "E")
+    assert [r.c for r in rows.orderBy("id").select(answer.alias("c")).collect()] == ["A", "S", "B", "E", "S"]
+
+
+def test_contexts_are_checked_when_planned(spark):
+    good = spark.range(1).select(F.lit("a").alias("t"), F.struct(F.array(F.lit(1)).alias("n"), F.create_map(F.lit("k"), F.lit(0.5)).alias("m")).alias("s"))
+    assert templates.assert_render_safe(good) is good
+    bad = good.select("s", F.current_date().alias("day"), F.create_map(F.lit(1), F.array(F.lit(b"x"))).alias("m"))
+    assert templates.unsafe_paths(bad.schema) == ["day", "m{key}", "m{}[]"]
+    with pytest.raises(TypeError, match="day"):
+        templates.assert_render_safe(bad)
