@@ -6,7 +6,8 @@ the cache holds are joined; each distinct missing content is encoded once and it
 
 Defined cases: null and empty texts have 0 tokens; repeated rows are encoded once and all returned; a digest that was
 appended twice (by two jobs at once, or one that was run again) counts once; an empty table gives an empty result;
-extra columns are ignored; very long texts are encoded whole.
+extra columns are ignored; very long texts are encoded whole. Rows of a repeated content that holds more than one in
+SHARE of all rows, of which there are under SHARE, get its count from a broadcast and are dealt by their ids.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, documents, short_batches
 
 LIMIT = 4096
+#: A content of more than one in so many rows is hot; hot rows are dealt in so many parts.
+SHARE, PARTS = 10_000, 4096
 
 
 @lru_cache(maxsize=4)
@@ -80,7 +83,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     encode_misses(docs, cache, tokenizer)
     stored = read_cache(docs.sparkSession, cache).where(F.col("version") == version_of(tokenizer)).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     rows = with_digest(docs).select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return rows.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    copies = rows.groupBy("digest").agg(F.count("*").alias("copies")).where((F.col("copies") > 1) & (F.col("copies") * SHARE > docs.count()))
+    hot = copies.join(stored, "digest").select("digest", F.col("n_tokens").alias("hot_tokens"))
+    # A hot row's part is never 0, so it looks for nothing among the stored counts and its digest's rows spread.
+    part = F.when(F.col("hot_tokens").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+    dealt = rows.join(F.broadcast(hot), "digest", "left").withColumn("part", part)
+    found = dealt.join(stored.withColumn("part", F.lit(0)), ["digest", "part"], "left").withColumn("n_tokens", F.coalesce("hot_tokens", "n_tokens"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
