@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, documents, short_batches
 
 LIMIT = 4096
-#: A content of more than one in so many rows is hot; hot rows are dealt in so many parts.
-SHARE, PARTS = 10_000, 4096
+#: A content of more than one in so many rows is hot.
+SHARE = 10_000
 
 
 @lru_cache(maxsize=4)
@@ -85,10 +85,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = LIMIT
     rows = with_digest(docs).select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     copies = rows.groupBy("digest").agg(F.count("*").alias("copies")).where((F.col("copies") > 1) & (F.col("copies") * SHARE > docs.count()))
     hot = copies.join(stored, "digest").select("digest", F.col("n_tokens").alias("hot_tokens"))
-    # A hot row's part is never 0, so it looks for nothing among the stored counts and its digest's rows spread.
-    part = F.when(F.col("hot_tokens").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
-    dealt = rows.join(F.broadcast(hot), "digest", "left").withColumn("part", part)
-    found = dealt.join(stored.withColumn("part", F.lit(0)), ["digest", "part"], "left").withColumn("n_tokens", F.coalesce("hot_tokens", "n_tokens"))
+    dealt = rows.join(F.broadcast(hot), "digest", "left")
+    # A hot row's key goes on with its id, so it equals no stored digest and its content's rows spread over all tasks.
+    spread = F.concat("digest", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    dealt = dealt.withColumn("key", F.when(F.col("hot_tokens").isNull(), F.col("digest")).otherwise(spread))
+    found = dealt.join(stored.withColumnRenamed("digest", "key"), "key", "left").withColumn("n_tokens", F.coalesce("hot_tokens", "n_tokens"))
     return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
