@@ -231,6 +231,17 @@ def state_guards(spark, d):
     return h.select("event_id", lifecycle.can_void(s, F.col("props")).alias("voidable"), lifecycle.can_supersede(s).alias("supersedable"), lifecycle.is_locked(s).alias("locked"))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN true ELSE false END AND o_orderkey % 3 <> 0 AS usable,
+ CASE WHEN o_orderkey % 4 IN (0, 1, 2) THEN o_orderdate::DATE END AS ended_on, CASE WHEN o_orderkey % 5 = 0 THEN CASE WHEN o_orderkey % 7 <> 0 THEN 'FRONT' END ELSE 'BACK' END AS side FROM orders""")
+def states_of_records(spark, d):
+    k = F.col("o_orderkey")
+    archived = F.when(F.col("o_orderstatus") != "F", F.col("o_orderdate"))
+    state = F.when(k % 3 == 0, "INVALID").otherwise("VALID")
+    status = F.when(k % 4 == 0, "COMPLETED").when(k % 4 == 1, "COMPLETED_WITH_WARNINGS").when(k % 4 == 2, "FAILED").otherwise("EXTRACTING")
+    side = lifecycle.resolved_side(F.when(k % 5 != 0, "BACK"), F.when(k % 7 != 0, "FRONT"))
+    return table(spark, d, "orders").select("o_orderkey", lifecycle.is_usable(archived, state).alias("usable"), lifecycle.completed_at(status, F.col("o_orderdate").cast("date")).alias("ended_on"), side.alias("side"))
+
+
 @query("SELECT o_custkey, o_orderkey, 100 + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS sequence FROM orders")
 def sequence_numbers(spark, d):
     return lifecycle.sequence_numbers(table(spark, d, "orders"), ["o_custkey"], F.lit(100), "o_orderdate", "o_orderkey").select("o_custkey", "o_orderkey", "sequence")
