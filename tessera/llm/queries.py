@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm.decontamination import op7_decontamination
 from tessera.llm.fingerprints import op9_fingerprints
 from tessera.llm.language_id import op2_language_id
+from tessera.llm.manifest import OP11_SQL, op11_manifest
 from tessera.llm.mixing import OP6_SQL, op6_mixing
 from tessera.llm.near_dedup import op10_near_dedup
 from tessera.llm.pii import op4_pii
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_fingerprints": op9_fingerprints,
         "op10_near_dedup": op10_near_dedup,
+        "op11_manifest": op11_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL}
+    return {"op6_mixing": OP6_SQL, "op11_manifest": OP11_SQL}
