@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.decontamination import op7_decontamination
+from tessera.llm.divergence import OP13_SQL, op13_divergence
 from tessera.llm.fingerprints import op9_fingerprints
 from tessera.llm.language_id import op2_language_id
 from tessera.llm.manifest import OP11_SQL, op11_manifest
@@ -32,8 +33,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fingerprints": op9_fingerprints,
         "op10_near_dedup": op10_near_dedup,
         "op11_manifest": op11_manifest,
+        "op13_divergence": op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL, "op11_manifest": OP11_SQL}
+    return {"op6_mixing": OP6_SQL, "op11_manifest": OP11_SQL, "op13_divergence": OP13_SQL}
