@@ -13,6 +13,7 @@ from tessera.llm.language_id import op2_language_id
 from tessera.llm.manifest import OP11_SQL, op11_manifest
 from tessera.llm.mixing import OP6_SQL, op6_mixing
 from tessera.llm.near_dedup import op10_near_dedup
+from tessera.llm.neighbours import op12_neighbours
 from tessera.llm.pii import op4_pii
 from tessera.llm.quality import op1_quality
 from tessera.llm.suffix_dedup import op8_suffix_dedup
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fingerprints": op9_fingerprints,
         "op10_near_dedup": op10_near_dedup,
         "op11_manifest": op11_manifest,
+        "op12_neighbours": op12_neighbours,
         "op13_divergence": op13_divergence,
     }
 
