@@ -63,7 +63,7 @@ class Graph:
 
     def search(self, points: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The beam nodes (-1 where there are fewer) nearest to each point that a greedy search finds, and their distances."""
-        n, width = len(points), self.edges.shape[1]
+        n = len(points)
         nodes = np.full((n, beam), -1, np.int64)
         near = np.full((n, beam), np.inf, np.float32)
         opened = np.ones((n, beam), bool)
@@ -78,7 +78,7 @@ class Graph:
             fresh = ~opened[rows, first]
             opened[rows, first] = True
             found = self.edges[np.where(fresh, nodes[rows, first], 0)]
-            found = np.sort(np.where(fresh[:, :, None], found, -1).reshape(len(active), OPENED * width), axis=1)
+            found = np.sort(np.where(fresh[:, :, None], found, -1).reshape(len(active), -1), axis=1)
             found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
             found[seen[rows, found]] = -1
             seen[rows, found] = True
