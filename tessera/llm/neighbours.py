@@ -254,9 +254,12 @@ def build(rows: DataFrame) -> DataFrame:
     """The graphs of all shards as (dim, shard, node, vector, ids, neighbours)."""
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n"))
     shards = F.greatest(F.ceil(F.sqrt("n") * SHARDS), F.ceil(F.col("n") * F.col("dim") * 8 / SHARD_BYTES), F.lit(1))
-    rows = rows.join(sizes.select("dim", shards.cast("int").alias("shards")), "dim")
+    sizes = sizes.select("dim", shards.cast("int").alias("shards"))
+    tasks = sizes.agg(F.sum("shards")).first()[0] or 1
+    rows = rows.join(sizes, "dim")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.col("shards")).cast("int")).drop("shards")
-    return rows.groupBy("dim", "shard").applyInArrow(_shard_graph, "dim int, shard int, node int, vector array<double>, ids array<long>, neighbours array<int>")
+    # Shards are small to shuffle but dear to build: their number of partitions is set, or a few tasks would build them all.
+    return rows.repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInArrow(_shard_graph, "dim int, shard int, node int, vector array<double>, ids array<long>, neighbours array<int>")
 
 
 def search(scratch: Scratch, index: DataFrame, queries: DataFrame, nearest: int = NEAREST, beam: int = BEAM) -> DataFrame:
