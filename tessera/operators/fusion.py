@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import domains
+from tessera.functions.numbers import half_even
 
 # Fixed values.
 FIELDS = ("id_number", "full_name", "date_of_birth", "issue_date", "expiry_date", "issue_place")
@@ -115,7 +116,7 @@ def overall(fields: DataFrame) -> DataFrame:
     total = each[0]
     for x in each[1:]:
         total = total + x
-    return fields.groupBy("entity").agg(F.bround(total, 4).alias("overall")).withColumn("needs_retake", F.col("overall") < RETAKE)
+    return fields.groupBy("entity").agg(half_even(total, 4).alias("overall")).withColumn("needs_retake", F.col("overall") < RETAKE)
 
 
 def sides_wanted(candidates: DataFrame, zones: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def traces(candidates: DataFrame, fused: DataFrame) -> DataFrame:
 
 def channel_summary(candidates: DataFrame) -> DataFrame:
     has = lambda s: F.max((F.col("source") == s).cast("int")) == 1
-    return candidates.groupBy("entity").agg(has("QR").alias("qr_available"), has("MRZ").alias("mrz_available"), F.count(F.when(F.col("source") == "OCR", 1)).alias("ocr_lines"), F.bround(F.avg(F.when(F.col("source") == "OCR", domains.clamp(F.col("confidence")))), 4).alias("ocr_confidence"))
+    return candidates.groupBy("entity").agg(has("QR").alias("qr_available"), has("MRZ").alias("mrz_available"), F.count(F.when(F.col("source") == "OCR", 1)).alias("ocr_lines"), half_even(F.avg(F.when(F.col("source") == "OCR", domains.clamp(F.col("confidence")))), 4).alias("ocr_confidence"))
 
 
 def status_for(issues: Column) -> Column:

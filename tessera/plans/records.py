@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, decode, domains, formatting, fuzzy, privacy, text
+from tessera.functions.numbers import half_even_sql
 from tessera.operators import fusion, normalize, rules, spatial, templates
 from tessera.plans.registry import query, table
 from tessera.sources import vault
@@ -70,7 +71,7 @@ def fusion_mismatch(spark, d):
 _TOTAL = " + ".join(f"coalesce(max(confidence) FILTER (field_key = '{k}' AND value IS NOT NULL), 0.0::DOUBLE) * {w}::DOUBLE" for k, w in fusion.WEIGHTS.items())
 
 
-@query(f"WITH {CANDIDATES} SELECT entity, round_even({_TOTAL}, 4) AS overall, round_even({_TOTAL}, 4) < 0.4::DOUBLE AS needs_retake FROM full_fused GROUP BY entity")
+@query(f"WITH {CANDIDATES} SELECT entity, {half_even_sql(_TOTAL, 4)} AS overall, {half_even_sql(_TOTAL, 4)} < 0.4::DOUBLE AS needs_retake FROM full_fused GROUP BY entity")
 def overall_confidence(spark, d):
     return fusion.overall(fusion.fuse(candidates(spark, d)))
 
@@ -518,8 +519,11 @@ def beside_label(spark, d):
     return spatial.beside_label(rows, labels).select("image", "field_key", "ord")
 
 
-@query("""WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 400 / 1.0::DOUBLE AS s, l_suppkey % 256 / 1.0::DOUBLE AS b, l_discount / 2.0::DOUBLE AS g, l_suppkey % 1000 AS e FROM lineitem)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round_even(greatest(0.0::DOUBLE, least(0.5::DOUBLE * least(s / 300.0::DOUBLE, 1.0::DOUBLE) + 0.3::DOUBLE * (1.0::DOUBLE - least(abs(b - 128.0::DOUBLE) / 128.0::DOUBLE, 1.0::DOUBLE)) + 0.2::DOUBLE * (1.0::DOUBLE - least(g / 0.1::DOUBLE, 1.0::DOUBLE)), 1.0::DOUBLE)), 3) AS score,
+_SCORE = "greatest(0.0::DOUBLE, least(0.5::DOUBLE * least(s / 300.0::DOUBLE, 1.0::DOUBLE) + 0.3::DOUBLE * (1.0::DOUBLE - least(abs(b - 128.0::DOUBLE) / 128.0::DOUBLE, 1.0::DOUBLE)) + 0.2::DOUBLE * (1.0::DOUBLE - least(g / 0.1::DOUBLE, 1.0::DOUBLE)), 1.0::DOUBLE))"
+
+
+@query(f"""WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_partkey % 400 / 1.0::DOUBLE AS s, l_suppkey % 256 / 1.0::DOUBLE AS b, l_discount / 2.0::DOUBLE AS g, l_suppkey % 1000 AS e FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {half_even_sql(_SCORE, 3)} AS score,
  [f FOR f IN [CASE WHEN s < 100 THEN 'BLURRY' END, CASE WHEN b < 70 THEN 'DARK' END, CASE WHEN b > 200 THEN 'BRIGHT' END, CASE WHEN g > 0.02::DOUBLE THEN 'GLARE' END, CASE WHEN e < 600 THEN 'LOW_RESOLUTION' END] IF f IS NOT NULL] AS flags FROM m""")
 def image_quality(spark, d):
     keys, c = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], F.col
