@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegralType, MapType, NullType, StringType, StructType
 
 from tessera.functions.text import collapse_whitespace, strip_diacritics
 
@@ -133,15 +134,56 @@ def disambiguated(name: Column, nth: Column) -> Column:
     return F.when(nth > 1, F.concat(name, F.lit(" ("), nth.cast("string"), F.lit(")"))).otherwise(name)
 
 
-def canonical_json(x: Column) -> Column:
-    """JSON of a struct; give its fields in sorted order."""
-    return F.to_json(x)
-
-
-def digest(x: Column) -> Column:
-    return F.sha2(canonical_json(x), 256)
-
-
-def flatten_markup(x: Column) -> Column:
-    """Text of markup, a line a paragraph."""
-    return F.regexp_replace(F.regexp_replace(x, r"(?i)</(?:w:)?p>|<br\s*/?>", "\n"), "<[^>]*>", "")
+def _json_text(x: Column) -> Column:
+    """A text as JSON: quotes, backslashes and control characters escaped, all else as it is."""
+    plain = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    named = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+    escaped = plain
+    for c in range(32):
+        escaped = F.replace(escaped, F.lit(chr(c)), F.lit(named.get(c, f"\\u{c:04x}")))
+    return F.concat(F.lit('"'), F.when(plain.rlike(r"[\x00-\x1f]"), escaped).otherwise(plain), F.lit('"'))
+
+
+def _json_double(x: Column) -> Column:
+    """A double as its shortest decimal: an exponent under -4 or from 16 on is written, others aren't. The smallest subnormals have a digit more than they need."""
+    said = x.cast("string")
+    digits, power = F.regexp_replace(F.regexp_extract(said, r"^-?([0-9.]+)E", 1), r"\.(?:0\z)?", ""), F.regexp_extract(said, r"E(-?\d+)\z", 1).try_cast("int")
+    sign = F.when(F.startswith(said, F.lit("-")), "-").otherwise("")
+    whole = F.rpad(digits, F.greatest(power + 1, F.length(digits)), F.lit("0"))
+    rest = F.substring(whole, power + 2, F.length(whole))
+    large = F.concat(F.substring(whole, F.lit(1), power + 1), F.lit("."), F.when(rest == "", "0").otherwise(rest))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    fraction = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise("")
+    exponent = F.concat(F.substring(digits, 1, 1), fraction, F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+    scaled = F.when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(exponent)
+    return F.when(power.isNull(), said).otherwise(F.concat(sign, scaled))
+
+
+def canonical_json(x: Column, kind: DataType) -> Column:
+    """A value of any depth as JSON in one form only: keys in order, nulls kept, `, ` and `: ` between, texts unescaped where they can be.
+
+    kind is the value's type: texts, whole and floating numbers, booleans, and arrays, structs and maps of them; others are refused when the plan is made.
+    """
+    if isinstance(kind, StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        members = [F.concat(_json_text(F.lit(f.name)), F.lit(": "), canonical_json(x[f.name], f.dataType)) for f in fields]
+        said = F.concat(F.lit("{"), F.concat_ws(", ", *members), F.lit("}"))
+    elif isinstance(kind, ArrayType):
+        said = F.concat(F.lit("["), F.array_join(F.transform(x, lambda v: canonical_json(v, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, MapType) and isinstance(kind.keyType, StringType):
+        entries = F.transform(F.array_sort(F.map_keys(x)), lambda k: F.concat(_json_text(k), F.lit(": "), canonical_json(x[k], kind.valueType)))
+        said = F.concat(F.lit("{"), F.array_join(entries, ", "), F.lit("}"))
+    elif isinstance(kind, StringType):
+        said = _json_text(x)
+    elif isinstance(kind, FloatType | DoubleType):
+        said = _json_double(x.cast("double"))
+    elif isinstance(kind, BooleanType | IntegralType | NullType):
+        said = x.cast("string")
+    else:
+        raise TypeError(f"no canonical form for {kind.simpleString()}")
+    return F.when(x.isNotNull(), said).otherwise("null")
+
+
+def digest(x: Column, kind: DataType) -> Column:
+    """The SHA-256 of a value's canonical form, in hexadecimal digits."""
+    return F.sha2(canonical_json(x, kind), 256)

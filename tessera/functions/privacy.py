@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 DOT, STAR = "•", "*"
 # Parts of key names that say how a value is masked, in order of precedence.
@@ -66,16 +67,32 @@ def mask_address(x: Column) -> Column:
 
 
 def redact_for_key(key: Column, x: Column) -> Column:
-    """A value masked as its key's name asks: raw payloads, secrets, addresses, names, else as text."""
+    """A value masked as its key's name asks: raw payloads, secrets, addresses, names, else as text; null stays."""
     low = F.lower(key)
     some = lambda parts: low.rlike("|".join(parts))
-    return F.when(some(RAW_KEYS), F.concat(F.lit("[REDACTED:"), key, F.lit("]"))).when(some(SECRET_KEYS), "[REDACTED]").when(some(("address",)), mask_address(x)).when(some(("name",)), mask_full_name(x)).otherwise(redact_text(x))
+    said = F.when(some(RAW_KEYS), F.concat(F.lit("[REDACTED:"), key, F.lit("]"))).when(some(SECRET_KEYS), "[REDACTED]").when(some(("address",)), mask_address(x)).when(some(("name",)), mask_full_name(x)).otherwise(redact_text(x))
+    return F.when(x.isNotNull(), said)
 
 
 def redact_map(x: Column) -> Column:
     return F.transform_values(x, redact_for_key)
 
 
+def redact(x: Column, kind: DataType, key: Column | None = None) -> Column:
+    """A context of any depth with its texts masked, each as the nearest name above it asks.
+
+    Names are those of a struct's fields and a map's keys; the elements of an array go by the array's. Values that are no texts, and nulls, stay.
+    """
+    if isinstance(kind, StructType):
+        said = F.struct(*[redact(x[f.name], f.dataType, F.lit(f.name)).alias(f.name) for f in kind.fields])
+        return F.when(x.isNotNull(), said)
+    if isinstance(kind, MapType):
+        return F.transform_values(x, lambda k, v: redact(v, kind.valueType, k))
+    if isinstance(kind, ArrayType):
+        return F.transform(x, lambda v: redact(v, kind.elementType, key))
+    return redact_for_key(key, x) if isinstance(kind, StringType) and key is not None else x
+
+
 def hmac_sha256(message: Column, key: bytes) -> Column:
     """HMAC-SHA-256 of binary, from two rounds of the hash."""
     import hashlib

@@ -8,11 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, FloatType, IntegralType, MapType, NullType, StringType, StructType
 
-# Filters that templates may use; names that they may not.
-FILTERS = ("upper", "lower", "title", "trim", "default", "join", "length", "replace", "round", "format")
-DANGEROUS = ("self", "cycler", "joiner", "namespace", "lipsum", "range", "dict", "config", "request")
-BLACKLIST = ("__class__", "__mro__", "__subclasses__", "__globals__", "__builtins__", "import", "eval(", "exec(")
-SEVERITY = {"ERROR": 0, "WARNING": 1, "INFO": 2}
+# Words that no tag may hold, in any letter case, and what a hit is called.
+BLACKLIST = ("__", "mro", "subclasses", "globals", "builtins", "import", "eval", "exec", "popen", "os.", "sys.", "lipsum", "cycler", "namespace")
+HIT = "từ khoá '{}'"
 SAFE = (StringType, BooleanType, IntegralType, FloatType, DoubleType, NullType)
 
 
@@ -61,72 +59,28 @@ def tags(source: Column) -> Column:
     return F.regexp_extract_all(source, F.lit(r"(?s)(\{\{.*?\}\}|\{%.*?%\})"), F.lit(1))
 
 
-def _names(source: Column, pattern: str) -> Column:
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(source, F.lit(pattern), F.lit(1))))
-
-
-def loop_variables(source: Column) -> Column:
-    return _names(source, r"\{%\s*for\s+([A-Za-z_]\w*)\s+in\s")
-
-
-def loop_roots(source: Column) -> Column:
-    return _names(source, r"\{%\s*for\s+[A-Za-z_]\w*\s+in\s+([A-Za-z_][\w.]*)")
-
-
-def variables(source: Column) -> Column:
-    """Paths that the template reads, without those of loop variables."""
-    loops = loop_variables(source)
-    read = F.array_union(_names(source, r"\{\{-?\s*([A-Za-z_][\w.]*)"), F.array_union(loop_roots(source), _names(source, r"\{%\s*(?:if|elif)\s+(?:not\s+)?([A-Za-z_][\w.]*)")))
-    return F.array_sort(F.filter(read, lambda v: ~F.array_contains(loops, F.substring_index(v, ".", 1))))
-
-
-def filters_used(source: Column) -> Column:
-    inside = F.array_join(tags(source), " ")
-    return _names(inside, r"\|\s*([A-Za-z_]\w*)")
-
-
-def findings(source: Column) -> Column:
-    """Broken safety rules, in order: private attributes and items, calls, global names, inclusion, unknown filters."""
-    inside = F.array_join(tags(source), " ")
-    rule = lambda name, test: F.when(test, F.lit(name))
-    found = F.array(
-        rule("private_attribute", inside.rlike(r"\.\s*_")),
-        rule("private_item", inside.rlike(r"\[\s*['\"]_")),
-        rule("call", inside.rlike(r"[\w\])]\s*\(") & ~inside.rlike(r"^\s*\z")),
-        rule("global_name", inside.rlike(r"(?:^|[\s{(%])(?:" + "|".join(DANGEROUS) + r")\b")),
-        rule("inclusion", inside.rlike(r"\{%-?\s*(?:include|extends|import|from)\b")),
-        rule("filter", F.size(F.array_except(filters_used(source), F.array(*map(F.lit, FILTERS)))) > 0),
-    )
-    return F.filter(found, lambda x: x.isNotNull())
-
-
 def blacklist_hits(source: Column) -> Column:
-    """Forbidden words inside tags only."""
-    inside = F.array_join(tags(source), " ")
-    return F.filter(F.array(*map(F.lit, BLACKLIST)), lambda w: F.contains(inside, w))
+    """Forbidden words inside tags only: around them the format itself has some."""
+    inside = F.lower(F.array_join(tags(source), " "))
+    hits = F.filter(F.array(*map(F.lit, BLACKLIST)), lambda w: F.contains(inside, w))
+    before, after = HIT.split("{}")
+    return F.transform(hits, lambda w: F.concat(F.lit(before), w, F.lit(after)))
 
 
-def split_vocabulary(used: Column, allowed: Column) -> Column:
-    return F.struct(F.array_intersect(used, allowed).alias("known"), F.array_except(used, allowed).alias("unknown"))
+def richtext_variables(source: Column) -> Column:
+    """Paths written so that their style is kept."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(source, F.lit(r"\{\{r\s+([A-Za-z_](?U:[\w.])*)"), F.lit(1))))
 
 
-def diagnostics(used: Column, allowed: Column, required: Column, styled: Column, rich: Column, loops: Column, scalars: Column) -> Column:
-    """Unknown variables first as errors, then missing required, plainly written styled, and looped scalars as warnings."""
-    say = lambda names, severity, code: F.transform(names, lambda n: F.struct(F.lit(SEVERITY[severity]).alias("rank"), F.lit(severity).alias("severity"), F.lit(code).alias("code"), n.alias("name")))
-    return F.array_sort(
-        F.concat(
-            say(F.array_except(used, allowed), "ERROR", "UNKNOWN_VARIABLE"),
-            say(F.array_except(required, used), "WARNING", "MISSING_REQUIRED"),
-            say(F.array_except(F.array_intersect(styled, used), rich), "WARNING", "STYLED_PLAIN"),
-            say(F.array_intersect(loops, scalars), "WARNING", "NOT_ITERABLE"),
-        )
-    )
+def image_paragraphs(source: Column) -> Column:
+    """Paragraphs, from 0, with a placeholder for an image."""
+    at = F.transform(F.split(source, "\n"), lambda line, i: F.when(line.rlike(r"(?U)\{\{p\s|\{%p\s"), i))
+    return F.filter(at, lambda i: i.isNotNull())
 
 
-def image_markers(source: DataFrame, key: str, text: str) -> DataFrame:
-    """Image placeholders by paragraph."""
-    lines = source.select(key, F.posexplode(F.split(text, "\n")).alias("paragraph", "line"))
-    return lines.where(F.col("line").rlike(r"\{\{\s*image|\[\[image")).select(key, "paragraph", "line")
+def plain_tags(source: Column) -> Column:
+    """Tags without the prefixes that say what of a document they replace: those are no part of the grammar."""
+    return F.regexp_replace(source, r"(?U)(\{[{%])(?:r|p|tr|tc)\s", "$1 ")
 
 
 def unsafe_paths(context: DataType, at: str = "") -> list[str]:

@@ -123,11 +123,11 @@ def test_transitions(spark):
     assert [(r.was, r.status) for r in lifecycle.illegal_transitions(h, "k", lifecycle.CONTRACT, "t").collect()] == [("DRAFT", "COMPLETED")]
 
 
-def test_templates(spark):
-    src = F.lit("{% for p in parties %}{{ p.name }}{% endfor %}{{ total|upper }}{{ x.__class__ }}{{ f(1) }}")
-    r = spark.range(1).select(templates.variables(src).alias("v"), templates.findings(src).alias("f"), templates.filters_used(src).alias("u"), templates.blacklist_hits(src).alias("b")).first()
-    assert "total" in r.v and "parties" in r.v and not any(v.startswith("p.") for v in r.v)
-    assert {"private_attribute", "call"} <= set(r.f) and r.u == ["upper"] and r.b == ["__class__"]
+def test_blacklist_and_markers(spark):
+    src = "openxmlformats import\n{{ x['MRO'] }} {{r a.b }}{{ r }}\n{{p photo }} {%p if x %}"
+    c = F.lit(src)
+    r = spark.range(1).select(templates.blacklist_hits(c).alias("b"), templates.richtext_variables(c).alias("r"), templates.image_paragraphs(c).alias("i"), templates.plain_tags(c).alias("p")).first()
+    assert (r.b, r.r, r.i) == (["từ khoá 'mro'"], ["a.b"], [2]) and "{{ photo }} {% if x %}" in r.p and "{{ a.b }}{{ r }}" in r.p
 
 
 def test_vault_round_trip(spark, tmp_path):
