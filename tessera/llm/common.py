@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 #: Rows per Arrow batch handed to Python; texts may be long, so batches stay short.
 BATCH_ROWS = 256
 
+#: Bytes of a word up to which a polynomial of its bytes is its hash.
+POLYNOMIAL_BYTES = 64
+
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -163,7 +167,11 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     up, down = power_tables(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(VALUE[raw] * down[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+    out = mix((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+    # There are long words that any such polynomial takes for one another; these get a cryptographic hash.
+    for k in np.flatnonzero(ends - starts > POLYNOMIAL_BYTES):
+        out[k] = int.from_bytes(hashlib.blake2b(raw[starts[k] : ends[k]].tobytes().lower(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:

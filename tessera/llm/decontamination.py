@@ -9,7 +9,8 @@ The benchmark is the stated query set: it is read in blocks of bounded size, eac
 its own, to which it is broadcast and after which it is dropped. What a block's items cover is written as rows of text
 digest, item and coverage, which all blocks' rows are joined by.
 
-Tokens are runs of letters and digits, lower-cased. Defined cases: null and empty texts cover nothing; items without
+Tokens are runs of letters and digits of any script, compatibility forms composed, lower-cased; quotes, dashes, spaces and punctuation of every kind part
+them. Defined cases: null and empty texts cover nothing; items without
 a token are never covered; items with fewer tokens than a seed are matched whole; among items of equal coverage the
 smaller item_id is named; repeated rows are judged alike; an empty benchmark leaves all documents clean; extra
 columns, whatever their names, are kept by the filter; texts are read whole, however long.
@@ -17,6 +18,8 @@ columns, whatever their names, are kept by the filter; texts are read whole, how
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -35,7 +38,14 @@ BLOCK_TOKENS = 1_000_000
 
 
 def tokens(text: str | None) -> np.ndarray:
-    return word_hashes((text or "").lower(), NOT_WORD)
+    """A hash of each token. Only texts with other than ASCII characters need Unicode's classes."""
+    text = text or ""
+    if text.isascii():
+        return word_hashes(text, NOT_WORD)
+    return word_hashes(_NO_TOKEN.sub(" ", unicodedata.normalize("NFKC", text).lower()))
+
+
+_NO_TOKEN = re.compile(r"[\W_]+")
 
 
 class Block:

@@ -92,7 +92,10 @@ def identified(doc_id: Column, text: Column) -> list[Column]:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, digest of the text, set size, digest of the set, packed low bits and band keys of each row."""
+    """doc_id, digest of the text, set size, digest of the words, packed low bits and band keys of each row.
+
+    Rows of the same words have the same set. Other rows of equal sets have equal signatures, meet in all bands and are confirmed on their full sets.
+    """
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +105,8 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
             for text in b.column(2).to_pylist():
                 found = np.unique(shingles(word_hashes(text), n))
                 sizes.append(len(found))
-                digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
+                said = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+                digests.append(hashlib.blake2b(said, digest_size=16).digest() if len(found) else None)
                 low = minima(found)
                 bits.append(packed(low).astype(np.int64) if len(found) else None)
                 bands.append(band_keys(low).astype(np.int64) if len(found) else None)
@@ -167,7 +171,7 @@ def classified(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     scratch = Scratch(spark, "near-dedup")
     signed = scratch.keep(signatures(docs, n), "signatures")
     filled = signed.where(F.col("doc_id").isNotNull() & F.col("digest").isNotNull())
-    # One row for each different set, numbered in the order of their first rows, so that a bucket's least one is its earliest.
+    # One row for each different sequence of words, numbered in the order of their first rows, so that a bucket's least one is its earliest.
     classes = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "tid")).alias("row"), F.first("n_shingles").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     classes = scratch.keep(classes.sort("row").withColumn("id", F.monotonically_increasing_id()), "classes")
     bands = classes.select("id", F.explode("bands").alias("key"))

@@ -22,6 +22,7 @@ an empty table gives an empty result; other columns are kept, whatever their nam
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 from collections import Counter
 from collections.abc import Callable
 
@@ -71,6 +72,19 @@ MAY_HAVE = rf"[@0-9]|{_SECRET}|AKIA|ASIA|(?:^|[^\p{{L}}])(?:{_TITLES}|{_NAMES})\
 DIGITS, HEX = ("0123456789",), ("0123456789abcdef",)
 PLAIN = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 SPOKEN = ("aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "аеиоуыэюя", "бвгджзклмнпрстфхцчш", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+
+
+def _other_letters() -> tuple[str, ...]:
+    """The lower-case letters that SPOKEN doesn't list and that have one capital each, a class a script: no name may keep its letters."""
+    scripts: dict[str, str] = {}
+    for c in map(chr, range(0x80, 0x2E00)):
+        if c.islower() and len(c.upper()) == 1 and c.upper().lower() == c and c.upper() != c and not any(c in letters for letters in SPOKEN):
+            script = unicodedata.name(c).split()[0]
+            scripts[script] = scripts.get(script, "") + c
+    return tuple(letters for letters in scripts.values() if len(letters) > 1)
+
+
+SPOKEN = (*SPOKEN, *_other_letters())
 HALF_ROUNDS = 4
 #: Steps in which a walk leaves any run of hexadecimal strings of eight characters or more.
 WALK = 100
