@@ -10,7 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tessera.functions.text import compact
+from tessera.functions.dates import NO_EXPIRY_TEXT
+from tessera.functions.text import compact, find_date
+
+
+# Fixed value: the likeness to the words for no expiry that is enough.
+NO_EXPIRY_LIKE = 85.0
 
 
 def common_subsequence(a: str, b: str) -> int:
@@ -82,6 +87,12 @@ def similarity(text: Column, anchor: Column) -> Column:
     return F.when((t == "") | (a == ""), 0.0).otherwise(partial_ratio_udf(a, t) * coverage)
 
 
+def find_expiry(text: Column) -> Column:
+    """A date, or the words that a card without an expiry has instead, as they should read: from NO_EXPIRY_LIKE on a line is taken for them."""
+    phrase = F.lit(NO_EXPIRY_TEXT)
+    return F.coalesce(find_date(text), F.when(similarity(text, phrase) >= NO_EXPIRY_LIKE, phrase))
+
+
 def best_match(lines: DataFrame, column: str, anchors: list[str]) -> DataFrame:
     """Distinct lines with the anchor most like them (the first of equals; null where nothing is) and its score.
 

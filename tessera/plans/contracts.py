@@ -11,7 +11,7 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions import formatting, privacy
+from tessera.functions import formatting, fuzzy, privacy
 from tessera.operators import grammar, parties
 from tessera.plans.registry import query, table
 
@@ -203,3 +203,17 @@ def redacted_contexts(spark, d):
     r = rows.select("event_id", privacy.redact(F.col("c"), rows.schema["c"].dataType).alias("c"))
     step = F.col("c.steps")[0]
     return r.select("event_id", F.col("c.user.full_name").alias("full_name"), F.col("c.home_address").alias("addresses"), step["m"]["access_token"].alias("token"), step["m"]["qr_raw"].alias("raw"), F.col("c.value").alias("value"), step["note"].alias("note"), step["kind"].alias("kind"))
+
+
+# (line, what is found in it)
+EXPIRIES = [
+    ("Có giá trị đến: {}", "{}"), ("Date of expiry", None), ("KHÔNG THỜI HẠN", "KHÔNG THỜI HẠN"), ("Khong thoi han", "KHÔNG THỜI HẠN"), ("Có giá trị đến: KHONG THOl HAN", "KHÔNG THỜI HẠN"),
+    ("KHONG", None), ("", None), (None, None), ("{} KHÔNG THỜI HẠN", "{}"), ("99/99/9999", None),
+]
+
+
+@query(f"""WITH {_values("f", "i, line, found", EXPIRIES)} SELECT o_orderkey, replace(found, '{{}}', strftime(o_orderdate, '%d/%m/%Y')) AS found FROM orders JOIN f ON i = o_orderkey % {len(EXPIRIES)}""")
+def find_expiries(spark, d):
+    """Lines of a card's back with a date, with the words for no expiry as they are read, or with neither."""
+    said = F.replace(_pick([x for x, _ in EXPIRIES], F.col("o_orderkey")), F.lit("{}"), F.date_format("o_orderdate", "dd/MM/yyyy"))
+    return table(spark, d, "orders").select("o_orderkey", fuzzy.find_expiry(said).alias("found"))
