@@ -6,6 +6,7 @@ import random
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -109,8 +110,35 @@ def test_stages_on_empty_tables(spark, tmp_path):
         assert out.count() == 0 and (name == "mixing" or out.columns == docs.columns)
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+#: By their contracts these give no row a document: neighbours of queries, and pairs and terms of sources.
+OTHERS = {"op12_neighbours", "op13_divergence"}
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries().keys() - OTHERS))
 def test_query_covers_all_rows(spark, name):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     out = queries.queries()[name](spark, str(DATA))
     assert out.select("doc_id").distinct().count() == out.count() == docs.count()
+
+
+def test_neighbours_of_every_query(spark):
+    """The whole table is asked and searched: each query has twenty ranks, or as many as there are other rows."""
+    ids = {r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect()}
+    rows = queries.queries()["op12_neighbours"](spark, str(DATA)).collect()
+    ranks = {}
+    for r in rows:
+        ranks.setdefault(r.query_id, []).append(r["rank"])
+    assert ranks.keys() == {i for i in ids if i % 20 == 0}
+    assert all(sorted(x) == list(range(1, min(20, len(ids) - 1) + 1)) for x in ranks.values())
+
+
+@pytest.mark.parametrize("name", ["op11_manifest", "op13_divergence"])
+def test_query_equals_its_sql(spark, name):
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    want = c.execute(queries.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    got = queries.queries()[name](spark, str(DATA))
+    assert sorted(got.columns) == sorted(columns)
+    found = [tuple(r) for r in got.select(*columns).collect()]
+    assert found and Counter(found) == Counter(want.fetchall())
