@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.operators import lifecycle, spec
 from tessera.operators.spec import Specification
 from tessera.plans.registry import query, table
-from tessera.sources import vault
+from tessera.sources import vault, versions
 
 
 @query("SELECT c_custkey, c_name, c_acctbal, total, total > 40 AS has_next FROM (SELECT *, count(*) OVER () AS total FROM customer WHERE c_mktsegment = 'BUILDING') ORDER BY c_acctbal DESC NULLS FIRST, c_custkey LIMIT 20 OFFSET 20")
@@ -296,3 +296,17 @@ def dashboard_summary(spark, d):
 @query("SELECT event_type, user_id, count(*) AS n, grouping(event_type) + 0 AS g FROM events GROUP BY GROUPING SETS ((event_type, user_id), (event_type), ())")
 def extension_grouping_sets(spark, d):
     return table(spark, d, "events").rollup("event_type", "user_id").agg(F.count("*").alias("n"), F.grouping("event_type").cast("long").alias("g"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'moved' ELSE c_address END AS c_address, CASE WHEN c_mktsegment = 'BUILDING' THEN 3 ELSE 1 END AS change
+ FROM (SELECT *, c_name AS c_address FROM customer) WHERE c_mktsegment = 'BUILDING' OR c_acctbal >= 0""")
+def stored_customers(spark, d):
+    """All customers stored, those in debt deleted, those of one segment stored anew, then compacted: what the store has."""
+    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment", F.col("c_name").alias("c_address"))
+    store = versions.scratch(spark, "c_custkey")
+    store.insert(c.select("c_custkey", "c_address", F.lit(1).alias("change")))
+    store.delete(c.where("c_acctbal < 0"))
+    store.upsert(c.where("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit("moved").alias("c_address"), F.lit(3).alias("change")))
+    store.compact()
+    store.vacuum()
+    return store.read()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import privacy
+from tessera.sources import versions
 
 # Bounds of an upload, and the shape of a stored path.
 MAX_BYTES, MAX_PIXELS, LEAST_EDGE, MOST_EDGE = 10 * 1024 * 1024, 60_000_000, 320, 12_000
@@ -123,3 +124,30 @@ def orphans(files: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     a, b = files.select(key).distinct().withColumn("f", F.lit(True)), rows.select(key).distinct().withColumn("r", F.lit(True))
     both = a.join(b, key, "full_outer")
     return both.where("f is null or r is null").select(key, F.when(F.col("f").isNull(), "ROW_WITHOUT_FILE").otherwise("FILE_WITHOUT_ROW").alias("kind"))
+
+
+def blobs(spark: SparkSession, path: str) -> versions.Store:
+    """A store of encrypted blobs that can also be deleted."""
+    return versions.Store(spark, path, ("ref",))
+
+
+def keep(at: versions.Store, files: DataFrame, key: bytes, read_key: bytes | None = None) -> DataFrame:
+    """files (category, on, file_id, content, nonce) committed as one version, once they have been reread and authenticated; their file_id and ref."""
+    aad = F.concat_ws("/", "category", "file_id")
+    ref = build_relative_path(F.col("category"), F.col("on"), F.col("file_id"))
+    sealed = files.select(ref.alias("ref"), "category", "file_id", privacy.encrypt(F.col("content"), F.lit(key), F.col("nonce"), aad).alias("sealed"))
+    opened = privacy.decrypt(F.col("sealed"), F.lit(read_key or key), aad)
+    at.commit(at.snapshot(), sealed, check=lambda rows: rows.where(opened.isNull()))
+    return files.select("file_id", ref.alias("ref"))
+
+
+def open_all(at: versions.Store, key: bytes) -> DataFrame:
+    """ref, file_id and content (null where authentication fails) of what is stored and not deleted."""
+    return at.read().select("ref", "file_id", privacy.decrypt(F.col("sealed"), F.lit(key), F.concat_ws("/", "category", "file_id")).alias("content"))
+
+
+def delete(at: versions.Store, refs: DataFrame) -> None:
+    """Deletes blobs by ref, those that aren't there too; nothing, and an error, if a ref isn't one that the store makes."""
+    if not refs.where(~is_valid_shape(F.col("ref"))).isEmpty():
+        raise ValueError("refs of another shape")
+    at.delete(refs)
