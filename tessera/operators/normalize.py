@@ -45,7 +45,7 @@ def date_field(raw: Column, confidence: Column) -> Column:
 def expiry(raw: Column, confidence: Column) -> Column:
     """The phrase for no expiry, or nearly that, or a date."""
     folded, phrase = strip_diacritics(nfc_upper(raw)), strip_diacritics(F.lit(dates.NO_EXPIRY_TEXT))
-    near = (folded == phrase) | (fuzzy.ratio_udf(folded, phrase) >= NO_EXPIRY_RATIO)
+    near = (folded == phrase) | (fuzzy.likeness(folded, phrase) >= NO_EXPIRY_RATIO)
     return F.when(near, _result(F.lit(dates.NO_EXPIRY_TEXT), confidence, "NO_EXPIRY")).otherwise(date_field(raw, confidence))
 
 
@@ -75,7 +75,7 @@ def shape_verdict(raw: Column) -> Column:
     tokens = shape_tokens(raw)
     head = F.substring(F.array_join(tokens, ""), 1, HEAD)
     heads = [F.substring(F.regexp_replace(strip_diacritics(F.lit(p)), r"[^\p{L}]", ""), 1, HEAD) for p in (domains.BO_CONG_AN, domains.CUC_CANH_SAT)]
-    one, two = (fuzzy.ratio_udf(head, F.substring(h, F.lit(1), F.length(head))) for h in heads)
+    one, two = (fuzzy.likeness(head, F.substring(h, F.lit(1), F.length(head))) for h in heads)
     best, other = F.greatest(one, two), F.least(one, two)
     place = F.when(one >= two, domains.BO_CONG_AN).otherwise(domains.CUC_CANH_SAT)
     vote = F.when(F.length(F.get(tokens, F.lit(0))) <= 2, domains.BO_CONG_AN).otherwise(domains.CUC_CANH_SAT)
@@ -96,7 +96,7 @@ def issue_places(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     shape = shape_verdict(F.coalesce("text", F.lit("")))
     texts = texts.withColumn("s", shape).withColumn("t5", F.when(F.col("s").isNotNull(), out(F.col("s.value"), F.col("s.confidence"), 5))).drop("s")
     pairs = texts.select("text", "plain").join(F.broadcast(aliases))  # sixteen rows of configuration
-    score = F.when(F.col("alias_normalized").isNotNull(), fuzzy.token_set_ratio_udf("plain", "alias_normalized"))
+    score = F.when(F.col("alias_normalized").isNotNull(), fuzzy.token_set_likeness(F.col("plain"), F.col("alias_normalized")))
     pairs = pairs.withColumn("score", score).withColumn("same", F.col("plain") == F.col("alias_normalized"))
     pairs = pairs.withColumn("kw", (F.size(F.coalesce("keywords", F.array().cast("array<string>"))) > 0) & F.forall("keywords", lambda k: F.array_contains(F.split("plain", " "), k)))
     hit = pairs.groupBy("text").agg(

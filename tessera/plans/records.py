@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, decode, domains, formatting, fuzzy, privacy, text
@@ -265,9 +267,27 @@ def find_dates(spark, d):
     return table(spark, d, "orders").select("o_orderkey", text.find_date(line).alias("found"))
 
 
-@query()
+def _anchors_sql() -> str:
+    """The phrases printed on cards as rows (ord, anchor, a), a without marks and blanks."""
+    rows = []
+    for i, phrase in enumerate(fuzzy.BOILERPLATE):
+        bare = "".join(c for c in unicodedata.normalize("NFD", phrase.upper()) if not unicodedata.combining(c)).replace("Đ", "D").replace(" ", "")
+        rows.append(f"({i}, '{phrase}', '{bare}')")
+    return ", ".join(rows)
+
+
+_OVER = "SELECT line, ord, anchor, a, t, {s} AS s, {l} AS l FROM pairs WHERE length({s}) <= length({l})"
+
+
+@query(f"""WITH pairs AS (SELECT *, replace(upper(line), ' ', '') AS t FROM (SELECT DISTINCT p_type || ' of birth' AS line FROM part), (VALUES {_anchors_sql()}) v(ord, anchor, a)),
+slid AS ({_OVER.format(s="a", l="t")} UNION ALL {_OVER.format(s="t", l="a")}),
+places AS (SELECT *, length(s) AS n, [list_sum([CASE WHEN s[j] = c THEN 1::BIGINT << (j - 1) ELSE 0 END for j in range(1, length(s) + 1)])::BIGINT for c in string_split(l, '')] AS m FROM slid),
+windows AS (SELECT *, m[greatest(i, 0) + 1 : least(i + n, len(m))] AS w FROM (SELECT *, unnest(range(1 - n, len(m))) AS i FROM places)),
+rows AS (SELECT *, list_reduce(list_prepend((1::BIGINT << n) - 1, w), lambda r, p: ((r + (r & p)) | (r - (r & p))) & ((1::BIGINT << n) - 1)) AS r FROM windows),
+scored AS (SELECT line, ord, anchor, max(200.0::DOUBLE * (n - bit_count(r)) / (n + len(w))) * least(1.0::DOUBLE, any_value(length(t)) / any_value(length(a))) AS score FROM rows GROUP BY ALL),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, ord) = 1)
+SELECT line, CASE WHEN score > 0 THEN anchor END AS anchor, greatest(score, 0.0::DOUBLE) AS score, score >= {fuzzy.BOILERPLATE_THRESHOLD} AS matches FROM best""")
 def boilerplate_lines(spark, d):
-    """Rows only: the likeness needs a longest common subsequence, which SQL lacks; tests hold it to hand-made values."""
     p = table(spark, d, "part").select(F.concat(F.col("p_type"), F.lit(" of birth")).alias("line"))
     return fuzzy.is_printed_boilerplate(p, "line")
 
