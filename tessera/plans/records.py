@@ -357,6 +357,24 @@ def td1_round_trip(spark, d):
     return decode.parse_td1(rows, "raw", ["o_orderkey"]).select("o_orderkey", "citizen_id", "birth", "expiry", "sex", "surname", "given_names", "checksum_valid", "corrections")
 
 
+_DIGIT = "(list_sum([{0}[i + 1]::INT * [7, 3, 1][i % 3 + 1] for i in range(0, 6)]) % 10)::VARCHAR"
+
+
+@query(f"""WITH RECURSIVE other(c, o, nr) AS (VALUES {", ".join(f"('{c}', '{o}', {i})" for c, others in decode.ALTERNATIVES.items() for i, o in enumerate(others))}),
+read AS (SELECT o_orderkey, {_DIGIT.format("v")} AS digit, substr(v, 1, place) || o || substr(v, place + 2) AS damaged FROM (SELECT o_orderkey, strftime(o_orderdate, '%y%m%d') AS v, (o_orderkey % 6)::INT AS place FROM orders) JOIN other ON c = v[place + 1] AND nr = 0),
+tried AS (SELECT DISTINCT damaged, digit, damaged AS made, 0 AS last, []::INT[] AS edits FROM read
+ UNION ALL SELECT damaged, digit, substr(made, 1, i - 1) || o || substr(made, i + 1), i, list_append(edits, (i * 10 + nr)::INT) FROM tried, (SELECT unnest(range(1, 7))::INT AS i), other WHERE i > last AND len(edits) < {decode.MAX_EDITS} AND c = damaged[i]),
+firsts AS (SELECT damaged, digit, arg_min(made, edits) AS repaired FROM tried WHERE {_DIGIT.format("made")} = digit GROUP BY ALL)
+SELECT o_orderkey, damaged, digit, repaired FROM read LEFT JOIN firsts USING (damaged, digit)""")
+def check_repairs(spark, d):
+    """Dates with one digit misread and their true check digit: the first reading that the digit allows."""
+    other = F.create_map(*[F.lit(x) for c, others in decode.ALTERNATIVES.items() for x in (c, others[0])])
+    at, v = (F.col("o_orderkey") % 6).cast("int"), F.date_format("o_orderdate", "yyMMdd")
+    damaged = F.concat(F.substring(v, F.lit(1), at), F.element_at(other, F.substring(v, at + 1, F.lit(1))), F.substring(v, at + 2, F.lit(6)))
+    read = table(spark, d, "orders").select("o_orderkey", damaged.alias("damaged"), decode.check_digit(v).alias("digit"))
+    return read.withColumn("repaired", decode.repaired_group(F.col("damaged"), F.col("digit")))
+
+
 # --- formatting and templates ------------------------------------------------------------------------------------
 
 

@@ -211,3 +211,19 @@ def test_contexts_are_checked_when_planned(spark):
     assert templates.unsafe_paths(bad.schema) == ["day", "m{key}", "m{}[]"]
     with pytest.raises(TypeError, match="day"):
         templates.assert_render_safe(bad)
+
+
+def test_repairs_in_columns(spark):
+    """Against the plain version, whole lines too."""
+    rng = random.Random(2)
+    made = [("".join(rng.choice("0123456789<A") for _ in range(rng.choice([1, 6, 9, 14]))), rng.choice("0123456789<")) for _ in range(150)] + [("", "3"), ("", "0"), (None, "1"), ("123456", None)]
+    rows = spark.createDataFrame(made, "v string, d string").coalesce(2)
+    for r in rows.select("v", "d", decode.repaired_group(F.col("v"), F.col("d")).alias("got")).collect():
+        assert r.got == (None if r.v is None or r.d is None else decode.repair_group(r.v, r.d)), r
+    lines = ["".join(rng.choice("0123456789") for _ in range(30)) for _ in range(60)]
+    for r in spark.createDataFrame([(x,) for x in lines], "x string").coalesce(2).select("x", decode.repaired_line(F.col("x"), decode.GROUPS[0]).alias("got")).collect():
+        want = r.x
+        for a, b, at in decode.GROUPS[0]:
+            if decode._digit_of(want[a:b]) != want[at]:
+                want = want[:a] + (decode.repair_group(want[a:b], want[at]) or want[a:b]) + want[b:]
+        assert r.got == want
