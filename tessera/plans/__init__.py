@@ -1,6 +1,6 @@
 """The registered queries over the supplied tables."""
 
-from tessera.plans import contracts, records, relational
+from tessera.plans import contracts, images, records, relational
 from tessera.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "contracts", "records", "relational"]
+__all__ = ["QUERIES", "SQL", "contracts", "images", "records", "relational"]
