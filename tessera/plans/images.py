@@ -90,13 +90,14 @@ SOLVED = f"""WITH RECURSIVE {QUADS}, solve AS (SELECT image, 1 AS step, [{_EQUAT
 
 
 @query(f"""{SOLVED}, spot AS (SELECT image, l_linenumber, l_partkey, l_suppkey, CASE WHEN image % 3 = 0 THEN sy ELSE sx END AS x, CASE WHEN image % 3 = 0 THEN sx ELSE sy END AS y FROM (SELECT *, px + l_partkey % 300 AS sx, py + l_suppkey % 200 AS sy FROM card))
-SELECT image, l_linenumber, l_partkey, l_suppkey, round((m[1][9] * x + m[2][9] * y + m[3][9]) / (m[7][9] * x + m[8][9] * y + 1), 3) AS u, round((m[4][9] * x + m[5][9] * y + m[6][9]) / (m[7][9] * x + m[8][9] * y + 1), 3) AS v FROM spot JOIN solve USING (image) WHERE step = 9""")
+SELECT image, l_linenumber, l_partkey, l_suppkey, floor(round((m[1][9] * x + m[2][9] * y + m[3][9]) / (m[7][9] * x + m[8][9] * y + 1) * 1000000) / 1000) / 1000 AS u, floor(round((m[4][9] * x + m[5][9] * y + m[6][9]) / (m[7][9] * x + m[8][9] * y + 1) * 1000000) / 1000) / 1000 AS v FROM spot JOIN solve USING (image) WHERE step = 9""")
 def warped_spots(spark, d):
-    """A spot of each line of an order whose outline is a card's, in the card's frame."""
+    """A spot of each line of an order whose outline is a card's, in the card's frame, cut to thousandths after millionths are rounded: two ways to solve differ in last digits, and exact halves of thousandths occur."""
+    cut = lambda n: F.floor(F.rint(F.col(n) * 1000000) / 1000) / 1000
     quads = geometry.card_quads(outlines(spark, d), F.lit(WIDTH), F.lit(HEIGHT)).select("image", geometry.perspective(F.col("quad")).alias("m"))
     spot = _laid(F.col("px") + F.col("l_partkey") % 300, F.col("py") + F.col("l_suppkey") % 200)
     rows = cards(spark, d).withColumn("s", spot).join(quads, "image").withColumn("w", geometry.warped(F.col("m"), F.col("s.x"), F.col("s.y")))
-    return rows.select("image", "l_linenumber", "l_partkey", "l_suppkey", F.round("w.u", 3).alias("u"), F.round("w.v", 3).alias("v"))
+    return rows.select("image", "l_linenumber", "l_partkey", "l_suppkey", cut("w.u").alias("u"), cut("w.v").alias("v"))
 
 
 PAGE, LEAST, APART = 1000, 20, 60
