@@ -445,7 +445,8 @@ def pii_counts(spark, d):
 
 
 def _masks_sql() -> str:
-    """The masks one length at a time; each twice, as a match takes the characters at its edges."""
+    """The masks one length at a time; runs twice, as a match takes the characters at its edges. Of mail only the edge before is taken: it has
+    letters and digits to the end, so the next match finds its own edge, and cannot begin within a name whose edge is gone."""
     out, edge = "text", (r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])")
     runs = [("[0-9]{8}([0-9]{4})", 8), ("0[0-9]{6}([0-9]{3})", 7), ("([0-9]{3}C)[0-9]{3}([0-9]{3})", 0), *((f"[0-9]{{{n - 4}}}([0-9]{{4}})", n - 4) for n in range(9, 21))]
     for run, dots in runs:
@@ -453,9 +454,7 @@ def _masks_sql() -> str:
         for _ in range(2):
             out = f"regexp_replace({out}, '{edge[0]}{run}{edge[1]}', '{new}', 'g')"
     mail = r"([\p{L}\p{N}_])[\p{L}\p{N}_.%+-]*@([\p{L}\p{N}_-])[\p{L}\p{N}_-]*((?:\.[\p{L}\p{N}_-]+)*\.[\p{L}\p{N}_]+)"
-    for _ in range(2):
-        out = f"regexp_replace({out}, '{edge[0]}{mail}{edge[1]}', '\\1\\2***@\\3***\\4\\5', 'g')"
-    return out
+    return f"regexp_replace({out}, '{edge[0]}{mail}', '\\1\\2***@\\3***\\4', 'g')"
 
 
 @query(f"SELECT doc_id, md5({_masks_sql()}) AS masked FROM documents")
