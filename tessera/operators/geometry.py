@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.operators.spatial import CARD_ASPECTS
 
@@ -21,6 +24,8 @@ MOST_TILT, LEAST_TILT, ANGLE_STEP, VOTES, GAP, LENGTH_SHARE = 15.0, 0.2, 0.5, 10
 SLAB = 256
 #: One pixel in the whole numbers that slopes are counted in, as a power of two.
 SHIFT = 16
+#: Heights of lines, where they cross the middle of an image, that one task looks through.
+STRIP = 1024
 #: How far around a peak, in bins of slope and in offsets, fainter lines are the same line.
 PEAK = 2
 
@@ -174,6 +179,39 @@ def _fall(slope: Column, x: Column) -> Column:
     return F.shiftright(F.lit(1 << (SHIFT - 1)) - x * slope, SHIFT)
 
 
+def _strip_runs(tilts: dict[int, int], votes: int, gap: int, share: int):
+    """Of the points of a strip, the stretches on lines with enough votes. A column of pixels has one height on a line, so a point on it is one vote."""
+
+    def of(key, points):
+        image, width, strip = key
+        width, low = width.as_py(), strip.as_py() * STRIP
+        mid = width // 2
+        x, y = np.unique(np.stack([points["x"].to_numpy(), points["y"].to_numpy()]), axis=1)
+        out = []
+        for k, slope in tilts.items():
+            o = y + (((1 << (SHIFT - 1)) - (x - mid) * slope) >> SHIFT) - low
+            inside = (o >= 0) & (o < STRIP)
+            many = np.bincount(o[inside], minlength=STRIP)
+            on = np.flatnonzero(inside)
+            on = on[many[o[on]] >= votes]
+            if not len(on):
+                continue
+            # The points ascend by x, and a stable sort keeps them so on each line.
+            on = on[np.argsort(o[on], kind="stable")]
+            xs, os = x[on], o[on]
+            cut = np.flatnonzero((np.diff(os) != 0) | (np.diff(xs) > gap))
+            first, last = np.r_[0, cut + 1], np.r_[cut, len(on) - 1]
+            long = xs[last] - xs[first] >= width // share
+            first, last = first[long], last[long]
+            out.append([np.full(len(first), k), np.full(len(first), slope), os[first] + low, many[os[first]], xs[first], xs[last]])
+        bins, slope, off, n, x0, x1 = np.concatenate(out, axis=1) if out else np.empty((6, 0), np.int64)
+        same = lambda v: pa.array([v] * len(bins), pa.int64())
+        columns = {"image": pa.array([image.as_py()] * len(bins), image.type), "width": same(width), "bin": pa.array(bins, pa.int32())}
+        return pa.table(columns | {"slope": slope, "off": off, "votes": n, "x0": x0, "x1": x1, "mid": same(mid)})
+
+    return of
+
+
 def lines(points: DataFrame, votes: int = VOTES, gap: int = GAP, share: int = LENGTH_SHARE, most: float = MOST_TILT) -> DataFrame:
     """image, bin, off, votes, x0, y0, x1, y1: stretches of near-horizontal lines through the points of images (image, width, x, y).
 
@@ -181,29 +219,29 @@ def lines(points: DataFrame, votes: int = VOTES, gap: int = GAP, share: int = LE
     many votes and is a peak: none within PEAK bins and heights has more (of equals the flatter, then the lesser bin and height).
     Its stretches are cut where more than gap columns are empty, and at least the share of the width long.
 
-    Of a line, a column of pixels has one height, so votes are bits of a column in cells of gap columns: a bitwise sum that combines
-    before rows are shuffled and counts a repeated point once. Cells, not points, are ordered to find the gaps.
+    Points are shuffled, not votes, of which each makes as many as there are bins. Of strips across an image, STRIP heights of the middle
+    each, one has all points that vote in it, so its lines are counted and cut alone and no task holds more of an image than a strip;
+    only stretches that are long enough leave it.
     """
     if not 0 < gap < 64:
-        raise ValueError("a cell is as wide as the gap, and has 63 bits")
+        raise ValueError("a gap is of 1 to 63 columns")
     c = F.col
-    tilts = F.explode(F.array(*[F.struct(F.lit(k).alias("bin"), F.lit(s).cast("long").alias("slope")) for k, s in slopes(most).items()]))
-    cast = _complete(points, "width").withColumn("mid", F.floor(c("width") / 2)).withColumn("t", tilts).select("image", "width", "mid", "x", "y", "t.bin", "t.slope")
-    cast = cast.withColumn("off", c("y") + _fall(c("slope"), c("x") - c("mid"))).withColumn("cell", F.floor(c("x") / gap))
-    bits = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (c("x") - c("cell") * gap).cast("int")))
-    cells = cast.groupBy("image", "width", "mid", "bin", "slope", "off", "cell").agg(bits.alias("bits"), F.min("x").alias("x0"), F.max("x").alias("x1"))
-    line = ["image", "width", "bin", "off"]
-    order = Window.partitionBy(*line).orderBy("cell")
-    cells = cells.withColumn("votes", F.sum(F.bit_count("bits")).over(Window.partitionBy(*line))).where(c("votes") >= votes)
-    cells = cells.withColumn("cut", (c("x0") - F.lag("x1").over(order) > gap).cast("int")).withColumn("run", F.sum(F.coalesce("cut", F.lit(0))).over(order))
-    runs = cells.groupBy(*line, "mid", "slope", "votes", "run").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).where(c("x1") - c("x0") >= F.floor(c("width") / share))
-    found = runs.groupBy(*line, "mid", "slope", "votes").agg(F.array_sort(F.collect_list(F.struct("x0", "x1"))).alias("runs"))
+    tilts = slopes(most)
+    end = lambda slope: c("y") + _fall(F.lit(slope).cast("long"), c("x") - c("mid"))
+    steep = max(tilts.values())
+    lo, hi = (F.floor(pick(end(steep), end(-steep)) / STRIP) for pick in (F.least, F.greatest))
+    placed = _complete(points, "width").withColumn("mid", F.floor(c("width") / 2)).withColumn("strip", F.explode(F.sequence(lo, hi)))
+    runs = placed.groupBy("image", "width", "strip")
+    longs = "width bigint, bin int, slope bigint, off bigint, votes bigint, x0 bigint, x1 bigint, mid bigint"
+    schema = StructType([points.schema["image"], *StructType.fromDDL(longs)])
+    found = runs.applyInArrow(_strip_runs(tilts, votes, gap, share), schema)
     rank = F.struct("votes", (-F.abs("bin")).alias("flat"), (-c("bin")).alias("low"), (-c("off")).alias("high"))
-    near = found.withColumn("rank", rank).withColumn("to", F.explode(F.sequence(c("bin") - PEAK, c("bin") + PEAK)))
+    # An image's lines come together before they are said again for the bins around.
+    near = found.repartition("image", "width").withColumn("rank", rank).withColumn("to", F.explode(F.sequence(c("bin") - PEAK, c("bin") + PEAK)))
     around = Window.partitionBy("image", "width", "to").orderBy("off").rangeBetween(-PEAK, PEAK)
-    peaks = near.withColumn("best", F.max("rank").over(around)).where("to = bin and best = rank").withColumn("r", F.explode("runs"))
+    peaks = near.withColumn("best", F.max("rank").over(around)).where("to = bin and best = rank")
     y = lambda x: c("off") - _fall(c("slope"), x - c("mid"))
-    return peaks.select("image", "bin", "off", "votes", c("r.x0").alias("x0"), y(c("r.x0")).alias("y0"), c("r.x1").alias("x1"), y(c("r.x1")).alias("y1"))
+    return peaks.select("image", "bin", "off", "votes", "x0", y(c("x0")).alias("y0"), "x1", y(c("x1")).alias("y1"))
 
 
 def skews(points: DataFrame, votes: int = VOTES, gap: int = GAP, share: int = LENGTH_SHARE, most: float = MOST_TILT) -> DataFrame:
