@@ -15,7 +15,9 @@ the first error.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Filters that templates may use; names that they may not; the words that read as constants and operators.
@@ -186,3 +188,11 @@ def inspect(source: str) -> Column:
     said = f"transform(array({said}), words -> {_kinds('words')})[0]"
     said = f"aggregate({said}, {_EMPTY}, (s, t) -> {_step()}, s -> {out})"
     return F.expr(f"if({source} is null, null, {said})")
+
+
+def once_per_text(rows: DataFrame, texts: list[str], name: str, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows with a column that read() adds to the texts it is worked out from. Each different text, or row of texts, is read once, as many
+    rows have the same; null texts are one like any other. Texts are few bytes for the work they make, so they are spread by number."""
+    each = rows.select(*texts).distinct().repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    told = read(each).select(F.struct(*texts).alias("_texts"), name)
+    return rows.withColumn("_texts", F.struct(*texts)).join(told, "_texts").drop("_texts")

@@ -2,7 +2,10 @@
 
 import random
 
-from tessera.operators import geometry
+from pyspark.sql import functions as F
+
+from tessera import plans
+from tessera.operators import geometry, grammar
 
 
 def shuffled(df):
@@ -32,3 +35,22 @@ def test_points_are_shuffled_and_not_votes(spark):
     rows = [(i, 1000, x, 100 * j + x // 10) for i, x, j in at]
     points = spark.createDataFrame(rows, "image int, width int, x int, y int")
     assert 0 < max(shuffled(geometry.lines(points, 20, 60))) <= 2 * len(rows)
+
+
+def test_each_template_is_read_once(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "{{ a.b }}" if i % 2 else None, "x" if i % 4 else None) for i in range(400)], "i int, t string, u string")
+    read = spark.sparkContext.accumulator(0)
+
+    def one(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b.assign(n=b["t"].fillna("-") + b["u"].fillna("-"))
+
+    told = grammar.once_per_text(rows, ["t", "u"], "n", lambda texts: texts.mapInPandas(one, "t string, u string, n string")).cache()
+    assert {(r.i, r.n) for r in told.collect()} == {(i, ("{{ a.b }}" if i % 2 else "-") + ("x" if i % 4 else "-")) for i in range(400)}
+    assert told.count() == 400 and read.value == 3
+    told.unpersist()
+    spark.range(1000).select(F.col("id").alias("p_partkey")).write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("template_reads", "template_uploads"):
+        plan = plans.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" in plan, name
