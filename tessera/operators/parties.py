@@ -96,6 +96,10 @@ def inspected(rows: DataFrame, source: str = "source", party_schema: str = "part
     """rows with what an upload of their template is told, as inspection: status, declared, required, optional, unknown, richtext,
     has_loops, has_conditionals, error (the paragraph of a syntax error, which leaves the rest empty) and diagnostics (code, severity, name), errors first.
     """
+    return grammar.once_per_text(rows, [source, party_schema, contract_fields], "inspection", lambda texts: _inspected(texts, source, party_schema, contract_fields))
+
+
+def _inspected(rows: DataFrame, source: str, party_schema: str, contract_fields: str) -> DataFrame:
     rows = rows.withColumn("_plain", templates.plain_tags(F.col(source))).withColumn("_read", grammar.inspect("_plain")).withColumn("_words", vocabulary(party_schema, contract_fields))
     read, words = F.col("_read"), F.col("_words")
     nothing = F.array().cast("array<string>")
