@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,8 +21,8 @@ from tessera.operators.spatial import CARD_ASPECTS
 CARD_FRAME, LEAST_AREA, SLACK = (1012, 638), 0.25, 0.02
 MOST_TILT, LEAST_TILT, ANGLE_STEP, VOTES, GAP, LENGTH_SHARE = 15.0, 0.2, 0.5, 100, 20, 4
 
-#: Columns of pixels whose points one fold brings to a chain; the chains of an image's slabs make another.
-SLAB = 256
+#: Columns of pixels whose points are brought to a ring at once; the rings of an image's slabs make another.
+SLAB = 1024
 #: One pixel in the whole numbers that slopes are counted in, as a power of two.
 SHIFT = 16
 #: Heights of lines, where they cross the middle of an image, that one task looks through.
@@ -41,36 +42,51 @@ def _cross(o: Column, a: Column, b: Column) -> Column:
     return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
 
 
-def chain(points: Column) -> Column:
-    """The convex chain of least y under points that ascend by x, one for an x.
-
-    A new point lies on the inner side of a first few of the chain's edges and of none after, as slopes ascend, so what stays is counted.
-    """
-
-    def add(kept: Column, p: Column) -> Column:
-        n = F.size(kept)
-        inner = F.filter(F.sequence(F.lit(1), n - 1), lambda i: _cross(F.get(kept, i - 1), F.get(kept, i), p) > 0)
-        return F.concat(F.when(n < 2, kept).otherwise(F.slice(kept, 1, F.size(inner) + 1)), F.array(p))
-
-    return F.aggregate(points, F.array().cast(_POINTS), add)
+def _ring(columns: Column) -> Column:
+    """The ring of each row's columns (x, lo, hi). What a task runs stands inside, as executors need not have this library."""
+
+    def chain(points: list[tuple[int, int]], down: int) -> list[tuple[int, int]]:
+        """The convex chain of least y under points that ascend by x, one for an x; with down -1, of greatest y."""
+        kept = []
+        for x, y in points:
+            while len(kept) > 1 and ((kept[-1][0] - kept[-2][0]) * (y - kept[-2][1]) - (kept[-1][1] - kept[-2][1]) * (x - kept[-2][0])) * down <= 0:
+                kept.pop()
+            kept.append((x, y))
+        return kept
+
+    def rings(columns: pa.Array) -> pa.Array:
+        flat, at = columns.flatten(), 0
+        x, lo, hi = (flat.field(n).to_numpy().tolist() for n in ("x", "lo", "hi"))
+        xs, ys, ends = [], [], [0]
+        # A null has no columns, here and when flattened.
+        for n in pc.fill_null(pc.list_value_length(columns), 0).to_numpy().tolist():
+            some = sorted(zip(x[at : at + n], lo[at : at + n], hi[at : at + n], strict=True))
+            top, low = chain([(x, a) for x, a, _ in some], 1), chain([(x, b) for x, _, b in some], -1)
+            ring = dict.fromkeys(top + low[::-1])
+            xs += [p[0] for p in ring]
+            ys += [p[1] for p in ring]
+            ends.append(len(xs))
+            at += n
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"]))
+
+    return F.arrow_udf(rings, _POINTS)(columns)
 
 
 def hulls(points: DataFrame) -> DataFrame:
     """image, ring: the corners of its points' convex hull, clockwise as seen, from the leftmost (of those the topmost) on.
 
     Points on a side are no corners; where all lie on a line the ring is its ends, or the one point. The highest and lowest point of
-    a column of pixels are found where the rows are, then slabs of columns become chains, then chains of slabs those of the image: no
-    task holds more of an image than its slabs' chains.
+    a column of pixels are found where its slab comes together, then slabs of columns become rings, then rings of slabs those of the image: no
+    task holds more of an image than its slabs' rings.
     """
-    flipped = lambda ps: F.transform(ps, lambda p: F.struct(p["x"].alias("x"), (-p["y"]).alias("y")))
-    columns = _complete(points).groupBy("image", "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    gathered = F.array_sort(F.collect_list(F.struct("x", "lo", "hi")))
-    side = lambda y: F.transform(gathered, lambda p: F.struct(p["x"].alias("x"), y(p).alias("y")))
-    slabs = columns.groupBy("image", F.floor(F.col("x") / SLAB).alias("slab")).agg(chain(side(lambda p: p["lo"])).alias("top"), chain(side(lambda p: -p["hi"])).alias("low"))
-    together = F.array_sort(F.collect_list(F.struct("slab", "top", "low")))
-    joined = lambda name: chain(F.flatten(F.transform(together, lambda s: s[name])))
-    # Made where rows are grouped, a ring is not made again for each use of it.
-    return slabs.groupBy("image").agg(F.array_distinct(F.concat(joined("top"), F.reverse(flipped(joined("low"))))).alias("ring"))
+    slab = F.floor(F.col("x") / SLAB).alias("slab")
+    # Columns are already where their slab is put together.
+    columns = _complete(points).select("image", slab, "x", "y").repartition("image", "slab").groupBy("image", "slab", "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
+    slabs = columns.groupBy("image", "slab").agg(F.collect_list(F.struct("x", "lo", "hi")).alias("columns")).select("image", _ring("columns").alias("ring"))
+    found = slabs.groupBy("image").agg(F.collect_list("ring").alias("rings"))
+    one = F.size("rings") == 1
+    again = F.transform(F.flatten("rings"), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("lo"), p["y"].alias("hi")))
+    return found.withColumn("more", _ring(F.when(~one, again))).select("image", F.when(one, F.get("rings", F.lit(0))).otherwise(F.col("more")).alias("ring"))
 
 
 def _with(value: Column, use) -> Column:

@@ -54,3 +54,9 @@ def test_each_template_is_read_once(spark, tmp_path):
     for name in ("template_reads", "template_uploads"):
         plan = plans.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert "Aggregate" in plan, name
+
+
+def test_points_of_outlines_are_shuffled_once(spark):
+    points = spark.createDataFrame([(i, x, x * x % 97) for i in range(5) for x in range(90)], "image int, x int, y int")
+    written = shuffled(geometry.hulls(points))
+    assert len(written) == 2 and max(written) == 450 and min(written) <= 5 * 4
