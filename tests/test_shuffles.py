@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera import plans
+from tessera.functions import decode
 from tessera.operators import geometry, grammar
 
 
@@ -60,3 +61,11 @@ def test_points_of_outlines_are_shuffled_once(spark):
     points = spark.createDataFrame([(i, x, x * x % 97) for i in range(5) for x in range(90)], "image int, x int, y int")
     written = shuffled(geometry.hulls(points))
     assert len(written) == 2 and max(written) == 450 and min(written) <= 5 * 4
+
+
+def test_blocks_are_spread_before_they_are_read(spark):
+    rows = spark.range(50).select("id", F.lit("I" * 90).alias("raw")).coalesce(1)
+    plan = decode.parse_td1(rows, "raw", ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition 4, true" in plan
+    values = spark.createDataFrame([("A1<z",), ("ZZ9",), ("",)], "v string").select("v", decode.check_digit(F.col("v")).alias("d"))
+    assert {r.v: r.d for r in values.collect()} == {"A1<z": "3", "ZZ9": "9", "": "0"}
