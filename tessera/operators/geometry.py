@@ -7,6 +7,9 @@ said again counts once. What finds edge points in pixels is no matter of this mo
 from __future__ import annotations
 
 import math
+from functools import reduce
+from itertools import pairwise
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -42,51 +45,88 @@ def _cross(o: Column, a: Column, b: Column) -> Column:
     return (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
 
 
-def _ring(columns: Column) -> Column:
-    """The ring of each row's columns (x, lo, hi). What a task runs stands inside, as executors need not have this library."""
-
-    def chain(points: list[tuple[int, int]], down: int) -> list[tuple[int, int]]:
-        """The convex chain of least y under points that ascend by x, one for an x; with down -1, of greatest y."""
-        kept = []
-        for x, y in points:
-            while len(kept) > 1 and ((kept[-1][0] - kept[-2][0]) * (y - kept[-2][1]) - (kept[-1][1] - kept[-2][1]) * (x - kept[-2][0])) * down <= 0:
-                kept.pop()
-            kept.append((x, y))
-        return kept
-
-    def rings(columns: pa.Array) -> pa.Array:
-        flat, at = columns.flatten(), 0
-        x, lo, hi = (flat.field(n).to_numpy().tolist() for n in ("x", "lo", "hi"))
-        xs, ys, ends = [], [], [0]
-        # A null has no columns, here and when flattened.
-        for n in pc.fill_null(pc.list_value_length(columns), 0).to_numpy().tolist():
-            some = sorted(zip(x[at : at + n], lo[at : at + n], hi[at : at + n], strict=True))
-            top, low = chain([(x, a) for x, a, _ in some], 1), chain([(x, b) for x, _, b in some], -1)
-            ring = dict.fromkeys(top + low[::-1])
-            xs += [p[0] for p in ring]
-            ys += [p[1] for p in ring]
-            ends.append(len(xs))
-            at += n
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], ["x", "y"]))
-
-    return F.arrow_udf(rings, _POINTS)(columns)
+def _rings():
+    """What tasks make rings with. It all stands inside, as executors need not have this library."""
+
+    def chain(of: np.ndarray, x: np.ndarray, y: np.ndarray, down: int) -> np.ndarray:
+        """Places of the points on convex chains of least y under sets of points that ascend by x, one for an x; with down -1, of greatest y.
+
+        A point on or beyond the stretch between two others of its set is no corner, so all that are seen to be so go at once, until
+        a set loses none.
+        """
+        kept, at = np.ones(len(x), bool), np.arange(len(x))
+        while len(at) > 2:
+            s, px, py = of[at], x[at], y[at]
+            turn = (px[1:-1] - px[:-2]) * (py[2:] - py[:-2]) - (py[1:-1] - py[:-2]) * (px[2:] - px[:-2])
+            out = np.r_[False, (s[:-2] == s[2:]) & (turn * down <= 0), False]
+            kept[at[out]] = False
+            losing = np.zeros(of[-1] + 1, bool)
+            losing[s[out]] = True
+            at = at[losing[s] & ~out]
+        return np.flatnonzero(kept)
+
+    def rings(of: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Array:
+        """The rings of sets of points; of says the set, numbered from 0 on."""
+        order = np.lexsort((x, of))
+        of, x, y = of[order], x[order], y[order]
+        if max(abs(int(end)) for v in (x, y) for end in (v.min(), v.max())) >= 1 << 29:
+            x, y = x.astype(object), y.astype(object)  # what turns are told by may not fit 64 bits
+        column = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (x[1:] != x[:-1])])
+        of, x, lo, hi = of[column], x[column], np.minimum.reduceat(y, column), np.maximum.reduceat(y, column)
+        top, low = chain(of, x, lo, 1), chain(of, x, hi, -1)
+        # Both chains have a set's first and last column: where that is one point, it is said once.
+        end = np.r_[True, of[1:] != of[:-1], True]
+        low = low[(lo != hi)[low] | ~(end[:-1] | end[1:])[low]]
+        sets = np.r_[of[top], of[low]]
+        order = np.lexsort((np.r_[top, 2 * len(of) - low], sets))
+        xs, ys = (pa.array(v[order], pa.int64()) for v in (np.r_[x[top], x[low]], np.r_[lo[top], hi[low]]))
+        ends = np.r_[0, np.cumsum(np.bincount(sets))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([xs, ys], ["x", "y"]))
+
+    def differ(image: pa.Array) -> np.ndarray:
+        if pa.types.is_nested(image.type):
+            return np.array([p != q for p, q in pairwise(image.to_pylist())], bool)
+        return pc.not_equal(image[1:], image[:-1]).to_numpy(zero_copy_only=False)
+
+    def of_points(batches):
+        """Rings of images whose points follow each other. The last of a batch goes on in the next as its ring."""
+        held = None
+        for batch in filter(len, batches):
+            image, x, y = batch.column(0), *(batch.column(n).to_numpy() for n in (1, 2))
+            if held:
+                last, ring = held[0], held[1].flatten()
+                image = pa.concat_arrays([last.take(pa.array(np.zeros(len(ring), int))), image])
+                x, y = (np.r_[ring.field(n).to_numpy(), v] for n, v in enumerate((x, y)))
+            new = np.r_[True, differ(image)]
+            images, each = image.take(pa.array(np.flatnonzero(new))), rings(np.cumsum(new) - 1, x, y)
+            yield pa.RecordBatch.from_arrays([images[:-1], each[:-1]], ["image", "ring"])
+            held = images[-1:], each[-1:]
+        if held:
+            yield pa.RecordBatch.from_arrays(list(held), ["image", "ring"])
+
+    def of_slabs(batches):
+        """Of images and the rings of their slabs, the images' rings."""
+        for image, many in (batch.columns for batch in batches):
+            each = many.flatten()
+            if len(each) > len(many):
+                points, (n, m) = each.flatten(), (pc.list_value_length(v).to_numpy() for v in (many, each))
+                each = rings(np.repeat(np.repeat(np.arange(len(n)), n), m), *(points.field(v).to_numpy() for v in ("x", "y")))
+            yield pa.RecordBatch.from_arrays([image, each], ["image", "ring"])
+
+    return of_points, of_slabs
 
 
 def hulls(points: DataFrame) -> DataFrame:
     """image, ring: the corners of its points' convex hull, clockwise as seen, from the leftmost (of those the topmost) on.
 
-    Points on a side are no corners; where all lie on a line the ring is its ends, or the one point. The highest and lowest point of
-    a column of pixels are found where its slab comes together, then slabs of columns become rings, then rings of slabs those of the image: no
-    task holds more of an image than its slabs' rings.
+    Points on a side are no corners; where all lie on a line the ring is its ends, or the one point. Slabs of pixel columns are spread, and a
+    ring is made of an image's points batch by batch where they come together; then rings of slabs become those of the image: no task
+    holds more of an image than a batch of points and its slabs' rings.
     """
-    slab = F.floor(F.col("x") / SLAB).alias("slab")
-    # Columns are already where their slab is put together.
-    columns = _complete(points).select("image", slab, "x", "y").repartition("image", "slab").groupBy("image", "slab", "x").agg(F.min("y").alias("lo"), F.max("y").alias("hi"))
-    slabs = columns.groupBy("image", "slab").agg(F.collect_list(F.struct("x", "lo", "hi")).alias("columns")).select("image", _ring("columns").alias("ring"))
-    found = slabs.groupBy("image").agg(F.collect_list("ring").alias("rings"))
-    one = F.size("rings") == 1
-    again = F.transform(F.flatten("rings"), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("lo"), p["y"].alias("hi")))
-    return found.withColumn("more", _ring(F.when(~one, again))).select("image", F.when(one, F.get("rings", F.lit(0))).otherwise(F.col("more")).alias("ring"))
+    of_points, of_slabs = _rings()
+    schema = StructType([points.schema["image"], *StructType.fromDDL(f"ring {_POINTS}")])
+    rows = _complete(points).repartition("image", F.floor(F.col("x") / SLAB)).sortWithinPartitions("image")
+    return rows.mapInArrow(of_points, schema).groupBy("image").agg(F.collect_list("ring").alias("rings")).mapInArrow(of_slabs, schema)
 
 
 def _with(value: Column, use) -> Column:
@@ -112,17 +152,20 @@ def perimeter(ring: Column) -> Column:
     return F.aggregate(_sides(ring), F.lit(0.0), lambda sum_, s: sum_ + _length(s["a"], s["b"]))
 
 
-def corners(ring: Column) -> Column:
-    """Four points of a ring: top left, top right, low right, low left, as their sums and differences say; of equals the leftmost, then topmost."""
-
+def _corners(ring: Column) -> list[Column]:
     def first(by) -> Column:
         least = F.array_min(F.transform(ring, lambda p: F.struct(by(p).alias("by"), p["x"].alias("x"), p["y"].alias("y"))))
-        return F.struct(least["x"].alias("x"), least["y"].alias("y"))
+        return _with(least, lambda l: F.struct(l["x"].alias("x"), l["y"].alias("y")))
 
-    return F.array(first(lambda p: p["x"] + p["y"]), first(lambda p: p["y"] - p["x"]), first(lambda p: -p["x"] - p["y"]), first(lambda p: p["x"] - p["y"]))
+    return [first(lambda p: p["x"] + p["y"]), first(lambda p: p["y"] - p["x"]), first(lambda p: -p["x"] - p["y"]), first(lambda p: p["x"] - p["y"])]
 
 
-def aspect(quad: Column) -> Column:
+def corners(ring: Column) -> Column:
+    """Four points of a ring: top left, top right, low right, low left, as their sums and differences say; of equals the leftmost, then topmost."""
+    return F.array(*_corners(ring))
+
+
+def aspect(quad: Column | list[Column]) -> Column:
     """The mean width of four corners over their mean height; 0 without a height."""
     width = (_length(quad[1], quad[0]) + _length(quad[2], quad[3])) / 2
     height = (_length(quad[3], quad[0]) + _length(quad[2], quad[1])) / 2
@@ -133,8 +176,7 @@ def _off(p: Column, a: Column, b: Column) -> Column:
     """How far a point is from a stretch."""
     dx, dy, px, py = ((v).cast("double") for v in (b["x"] - a["x"], b["y"] - a["y"], p["x"] - a["x"], p["y"] - a["y"]))
     along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))))
-    ex, ey = px - F.coalesce(along, F.lit(0.0)) * dx, py - F.coalesce(along, F.lit(0.0)) * dy
-    return F.sqrt(ex * ex + ey * ey)
+    return _with(F.coalesce(along, F.lit(0.0)), lambda t: F.sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy)))
 
 
 def card_quads(outlines: DataFrame, width: Column, height: Column) -> DataFrame:
@@ -144,17 +186,18 @@ def card_quads(outlines: DataFrame, width: Column, height: Column) -> DataFrame:
     has a card's shape once the corners start from a long edge. Other outlines give no row: fewer than four different corners, a
     corner that doesn't turn, or an unknown size.
     """
-    ring = F.col("ring")
-    from_long_edge = lambda q: F.when(aspect(q) >= 1, q).otherwise(F.array(q[1], q[2], q[3], q[0]))
-
-    def fitted(q: Column) -> Column:
-        turns = F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: _cross(F.get(q, i), F.get(q, (i + 1) % 4), F.get(q, (i + 2) % 4)) > 0)
-        off = lambda p: F.array_min(F.transform(_sides(q), lambda s: _off(p, s["a"], s["b"])))
-        near = _with(SLACK * perimeter(ring), lambda most: F.forall(ring, lambda p: off(p) <= most))
-        return F.when(turns & near, _with(from_long_edge(q), lambda r: F.struct(r.alias("quad"), aspect(r).alias("aspect"))))
-
-    rows = outlines.where((F.size("ring") >= 4) & (twice_area(ring) >= 2 * LEAST_AREA * width * height))
-    return rows.select("image", _with(corners(ring), fitted).alias("c")).select("image", "c.*").where(F.col("aspect").between(*CARD_ASPECTS))
+    ring, q = F.col("ring"), [F.col(f"q{i}") for i in range(4)]
+    large = outlines.where((F.size("ring") >= 4) & (twice_area(ring) >= 2 * LEAST_AREA * width * height))
+    # Made by a generator, as filters on columns of a projection would work them out again for each time they name them.
+    at = F.struct(*[p.alias(f"q{i}") for i, p in enumerate(_corners(ring))])
+    rows = large.select("image", "ring", F.inline(F.array(at)))
+    long, turned_on = aspect(q) >= 1, [*q[1:], q[0]]
+    shaped = F.when(long, aspect(q)).otherwise(aspect(turned_on))
+    turns = reduce(and_, (_cross(q[i], q[(i + 1) % 4], q[(i + 2) % 4]) > 0 for i in range(4)))
+    on_side = lambda p, most: reduce(or_, (_off(p, q[i], q[(i + 1) % 4]) <= most for i in range(4)))
+    near = _with(SLACK * perimeter(ring), lambda most: F.forall(ring, lambda p: on_side(p, most)))
+    # What is soonest said comes first: only outlines of a card's shape are held to their sides.
+    return rows.where(turns & shaped.between(*CARD_ASPECTS) & near).select("image", F.when(long, F.array(*q)).otherwise(F.array(*turned_on)).alias("quad"), shaped.alias("aspect"))
 
 
 def perspective(quad: Column, frame: tuple[int, int] = CARD_FRAME) -> Column:

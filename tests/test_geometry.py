@@ -36,6 +36,24 @@ def test_hulls(spark):
     assert got == {i: plain_hull(ps) for i, ps in sets.items()}
 
 
+def test_hulls_over_many_batches(spark):
+    rng = random.Random(6)
+    sets = {str(i): [(rng.randint(-3000, 3000), rng.randint(-50, 50)) for _ in range(n)] for i, n in enumerate([1, 2, 300, 1, 7, 90])}
+    sets["far"] = [(x * 2**33, y * 2**40 + 2**60) for x, y in sets["4"] + [(0, 0), (1, 1), (2, 2)]]
+    sets["late"] = [(x, x * x) for x in range(60)] + [(60, -9)]  # its last point undoes one corner after the other
+    rows = [(i, *p) for i, ps in sets.items() for p in ps]
+    rng.shuffle(rows)
+    given = spark.createDataFrame(rows, "image string, x long, y long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for image in (F.col("image"), F.struct(F.lit(1).alias("n"), "image")):
+            got = geometry.hulls(given.withColumn("image", image)).collect()
+            got = {r.image if isinstance(r.image, str) else r.image.image: [tuple(p) for p in r.ring] for r in got}
+            assert got == {i: plain_hull(ps) for i, ps in sets.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_hulls_of_nothing(spark):
     none = spark.createDataFrame([], "image int, x int, y int, width int")
     assert geometry.hulls(none).count() == geometry.lines(none).count() == geometry.skews(none).count() == 0

@@ -69,3 +69,13 @@ def test_blocks_are_spread_before_they_are_read(spark):
     assert "Repartition 4, true" in plan
     values = spark.createDataFrame([("A1<z",), ("ZZ9",), ("",)], "v string").select("v", decode.check_digit(F.col("v")).alias("d"))
     assert {r.v: r.d for r in values.collect()} == {"A1<z": "3", "ZZ9": "9", "": "0"}
+
+
+def test_outlines_are_looked_at_once(spark):
+    points = spark.createDataFrame([(0, 50, 60), (0, 550, 80), (0, 540, 400), (0, 40, 380)], "image int, x int, y int")
+    cards = geometry.card_quads(geometry.hulls(points), F.lit(700), F.lit(600))
+    plan = cards.where("aspect > 1").selectExpr("image", "quad[0].x", "quad[1].y", "aspect", "aspect * 2")._jdf.queryExecution().optimizedPlan().toString()
+    # A least for each corner, rings of points and rings of slabs; points are not grouped by pixel columns.
+    assert plan.count("array_min") == 4 and "ArrowEvalPython" not in plan
+    assert plan.count("MapInArrow") == 2 and plan.count("Aggregate") == 1
+    assert cards.count() == 1
