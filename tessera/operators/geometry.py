@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 from itertools import pairwise
-from operator import and_, or_
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -152,31 +152,48 @@ def perimeter(ring: Column) -> Column:
     return F.aggregate(_sides(ring), F.lit(0.0), lambda sum_, s: sum_ + _length(s["a"], s["b"]))
 
 
-def _corners(ring: Column) -> list[Column]:
-    def first(by) -> Column:
-        least = F.array_min(F.transform(ring, lambda p: F.struct(by(p).alias("by"), p["x"].alias("x"), p["y"].alias("y"))))
-        return _with(least, lambda l: F.struct(l["x"].alias("x"), l["y"].alias("y")))
+def corners(ring: Column) -> Column:
+    """Four points of a ring: top left, top right, low right, low left, as their sums and differences say; of equals the leftmost, then topmost."""
 
-    return [first(lambda p: p["x"] + p["y"]), first(lambda p: p["y"] - p["x"]), first(lambda p: -p["x"] - p["y"]), first(lambda p: p["x"] - p["y"])]
+    def first(by, y) -> Column:
+        """The point of least by, which gives y together with x: so of equals the leftmost is one point."""
+        least = F.array_min(F.transform(ring, lambda p: F.struct(by(p["x"], p["y"]).alias("by"), p["x"].alias("x"))))
+        return _with(least, lambda p: F.struct(p["x"].alias("x"), y(p["by"], p["x"]).alias("y")))
 
+    return F.array(
+        first(lambda x, y: x + y, lambda by, x: by - x),
+        first(lambda x, y: y - x, lambda by, x: by + x),
+        first(lambda x, y: -x - y, lambda by, x: -by - x),
+        first(lambda x, y: x - y, lambda by, x: x - by),
+    )
 
-def corners(ring: Column) -> Column:
-    """Four points of a ring: top left, top right, low right, low left, as their sums and differences say; of equals the leftmost, then topmost."""
-    return F.array(*_corners(ring))
 
+def _sizes(quad: Column) -> tuple[Column, Column]:
+    """The mean width and height of four corners. A quad turned on by one corner has them the other way round."""
+    return (_length(quad[1], quad[0]) + _length(quad[2], quad[3])) / 2, (_length(quad[3], quad[0]) + _length(quad[2], quad[1])) / 2
 
-def aspect(quad: Column | list[Column]) -> Column:
-    """The mean width of four corners over their mean height; 0 without a height."""
-    width = (_length(quad[1], quad[0]) + _length(quad[2], quad[3])) / 2
-    height = (_length(quad[3], quad[0]) + _length(quad[2], quad[1])) / 2
+
+def _share(width: Column, height: Column) -> Column:
     return F.when(height > 0, width / height).otherwise(0.0)
 
 
-def _off(p: Column, a: Column, b: Column) -> Column:
+def aspect(quad: Column) -> Column:
+    """The mean width of four corners over their mean height; 0 without a height."""
+    return _share(*_sizes(quad))
+
+
+def _stretch(a: Column, b: Column) -> Column:
+    """Where a stretch begins, where it goes, and its length squared, if it has one."""
+    x, y = a["x"].cast("double"), a["y"].cast("double")
+    dx, dy = b["x"] - x, b["y"] - y
+    return F.struct(x.alias("x"), y.alias("y"), dx.alias("dx"), dy.alias("dy"), F.nullif(dx * dx + dy * dy, F.lit(0.0)).alias("square"))
+
+
+def _off(p: Column, s: Column) -> Column:
     """How far a point is from a stretch."""
-    dx, dy, px, py = ((v).cast("double") for v in (b["x"] - a["x"], b["y"] - a["y"], p["x"] - a["x"], p["y"] - a["y"]))
-    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0))))
-    return _with(F.coalesce(along, F.lit(0.0)), lambda t: F.sqrt((px - t * dx) * (px - t * dx) + (py - t * dy) * (py - t * dy)))
+    px, py = p["x"] - s["x"], p["y"] - s["y"]
+    along = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * s["dx"] + py * s["dy"]) / s["square"]))
+    return _with(along, lambda t: F.sqrt((px - t * s["dx"]) * (px - t * s["dx"]) + (py - t * s["dy"]) * (py - t * s["dy"])))
 
 
 def card_quads(outlines: DataFrame, width: Column, height: Column) -> DataFrame:
@@ -186,18 +203,19 @@ def card_quads(outlines: DataFrame, width: Column, height: Column) -> DataFrame:
     has a card's shape once the corners start from a long edge. Other outlines give no row: fewer than four different corners, a
     corner that doesn't turn, or an unknown size.
     """
-    ring, q = F.col("ring"), [F.col(f"q{i}") for i in range(4)]
+    ring, q, w, h = F.col("ring"), [F.col(f"q{i}") for i in range(4)], F.col("w"), F.col("h")
     large = outlines.where((F.size("ring") >= 4) & (twice_area(ring) >= 2 * LEAST_AREA * width * height))
     # Made by a generator, as filters on columns of a projection would work them out again for each time they name them.
-    at = F.struct(*[p.alias(f"q{i}") for i, p in enumerate(_corners(ring))])
-    rows = large.select("image", "ring", F.inline(F.array(at)))
-    long, turned_on = aspect(q) >= 1, [*q[1:], q[0]]
-    shaped = F.when(long, aspect(q)).otherwise(aspect(turned_on))
+    at = lambda c: F.struct(*[c[i].alias(f"q{i}") for i in range(4)], *[v.alias(n) for v, n in zip(_sizes(c), "wh", strict=True)])
+    rows = large.select("image", "ring", F.inline(F.array(_with(corners(ring), at))))
+    long = _share(w, h) >= 1
+    shape = F.when(long, _share(w, h)).otherwise(_share(h, w))
     turns = reduce(and_, (_cross(q[i], q[(i + 1) % 4], q[(i + 2) % 4]) > 0 for i in range(4)))
-    on_side = lambda p, most: reduce(or_, (_off(p, q[i], q[(i + 1) % 4]) <= most for i in range(4)))
-    near = _with(SLACK * perimeter(ring), lambda most: F.forall(ring, lambda p: on_side(p, most)))
+    held = F.struct((SLACK * perimeter(ring)).alias("most"), F.array(*[_stretch(q[i], q[(i + 1) % 4]) for i in range(4)]).alias("sides"))
+    near = _with(held, lambda k: F.forall(ring, lambda p: F.exists(k["sides"], lambda s: _off(p, s) <= k["most"])))
     # What is soonest said comes first: only outlines of a card's shape are held to their sides.
-    return rows.where(turns & shaped.between(*CARD_ASPECTS) & near).select("image", F.when(long, F.array(*q)).otherwise(F.array(*turned_on)).alias("quad"), shaped.alias("aspect"))
+    cards = rows.where(turns & shape.between(*CARD_ASPECTS) & near)
+    return cards.select("image", F.when(long, F.array(*q)).otherwise(F.array(*q[1:], q[0])).alias("quad"), shape.alias("aspect"))
 
 
 def perspective(quad: Column, frame: tuple[int, int] = CARD_FRAME) -> Column:

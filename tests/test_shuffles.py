@@ -79,3 +79,11 @@ def test_outlines_are_looked_at_once(spark):
     assert plan.count("array_min") == 4 and "ArrowEvalPython" not in plan
     assert plan.count("MapInArrow") == 2 and plan.count("Aggregate") == 1
     assert cards.count() == 1
+
+
+def test_lengths_of_sides_are_worked_out_once(spark):
+    outlines = spark.createDataFrame([(0, [(50, 60), (550, 80), (540, 400), (40, 380)])], "image int, ring array<struct<x:bigint,y:bigint>>")
+    cards = geometry.card_quads(outlines, F.lit(700), F.lit(600))
+    # Two widths, two heights, the perimeter, and how far a point is from a side.
+    assert cards._jdf.queryExecution().optimizedPlan().toString().count("SQRT") == 6
+    assert [(r.aspect, r.quad[0].x) for r in cards.collect()] == [(((500**2 + 20**2) ** 0.5) / ((10**2 + 320**2) ** 0.5), 50)]
